@@ -22,7 +22,7 @@ def put(folder: str, suffix: str, content: bytes) -> str:
     where, path = _open(folder)
     where.create_dir(path, recursive=True)
     name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}{suffix}"
-    with where.open_output_stream(f"{path}/{name}") as f:
+    with where.open_output_stream(f"{path}/{name}", compression=None) as f:
         f.write(content)
     return name
 
