@@ -1,24 +1,50 @@
 """Encoding with a public tokenizer, each distinct word once.
 
 Both pre-tokenizers end a piece at a blank between two visible characters, so a text's ids are those of its
-blank-separated segments, one after the other. A segment is encoded by the tokenizers library when a worker first meets
-it and is looked up from then on. Long segments are encoded but not stored; the store is emptied when it is full.
+blank-separated segments, one after the other. A worker encodes a segment with the tokenizers library when it first
+meets it and looks it up from then on. New segments are encoded together, joined by blanks, and told apart by the
+vocabulary: a byte-level token begins with the blank, a word-end token closes a piece. Segments for which that isn't
+certain, and all if a count doesn't come out, are encoded one by one. Long segments are not stored; the store is emptied
+when it is full.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import regex
 
-#: Segments that a worker stores (about 200 bytes each), and the longest of them.
-STORE, LONGEST = 400_000, 48
-#: A blank at which no piece goes on, whatever the pre-tokenizer: both neighbours are visible.
+#: Segments that a worker stores (about 200 bytes each), the longest of them, and how many are joined.
+STORE, LONGEST, JOINED = 500_000, 48, 1000
+#: A blank at which no piece goes on: both neighbours are visible.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: White space other than single blanks between visible characters.
-_ODD = re.compile(r"\s\s|^\s|\s$|[^\S ]")
+#: White space other than single blanks and newlines between visible characters, or the mark of other segments.
+_ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]|\x00")
+#: Python takes these for white space, the tokenizers don't.
+_CONTROL = re.compile(r"[\x1c-\x1f]")
+#: Segments whose normal form and pieces are certain; pieces as the word-level pre-tokenizer has them (a fixed value).
+_LATIN = re.compile(r"[!-~\xa1-\xac\xae-\u024f]+")
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+class _Numbers(dict):
+    """Numbers keys in order of their first lookup and lists those that are new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+        self.next = 0
+
+    def __missing__(self, key: str) -> int:
+        k = self[key] = self.next
+        self.next += 1
+        self.new.append(key)
+        return k
 
 
 class WordStore:
@@ -31,35 +57,89 @@ class WordStore:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.blank_leads = blank_leads
+        self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)  # of tokens that begin, or end, a segment's piece
+        for token, i in self.tokenizer.get_vocab().items():
+            self.edge[i] = token.startswith("\u0120") if blank_leads else token.endswith("</w>")
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at = _Numbers()
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
-        self.begin, self.n = np.empty(1 << 18, np.int64), 0
-        self.size = np.empty(1 << 18, np.int64)
-
-    def _put(self, ids: list[int]) -> int:
-        k, n = self.n, len(ids)
-        if k == len(self.begin):
-            self.begin, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.begin, self.size))
-        while self.used + n > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[self.used : self.used + n] = ids
-        self.begin[k], self.size[k] = self.used, n
-        self.used, self.n = self.used + n, k + 1
-        return k
+        self.begin, self.size = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
 
     def segments(self, text: str) -> list[str]:
-        """Pieces of text that encode independently; the first stands as it is, others as after a blank."""
+        """Keys of the pieces of text that encode independently.
+
+        Byte-level: x stands for a blank and x, a zero byte and x for x alone. Else x stands for itself.
+        """
         if not self.blank_leads:
-            return text.split()
-        parts = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-        return [parts[0], *[" " + x for x in parts[1:]]]
+            return text.split() if not _CONTROL.search(text) else [text]
+        if _ODD.search(text):
+            parts = _CUT.split(text)
+            return ["\0" + parts[0], *["\0 " + x for x in parts[1:]]]
+        out: list[str] = []
+        for i, line in enumerate(text.split("\n")):
+            at = len(out)
+            out += line.split(" ")
+            out[at] = ("\0\n" if i else "\0") + out[at]
+        return out
+
+    def _text(self, key: str) -> str:
+        return key if not self.blank_leads else key[1:] if key[0] == "\0" else " " + key
+
+    def _pieces(self, key: str) -> int:
+        """How many edges a key's ids have when it is joined with others; 0 if that isn't certain."""
+        if self.blank_leads:
+            return int(key[0] != "\0")
+        return (1 if key.isalpha() else len(_PIECES.findall(key.lower()))) if _LATIN.fullmatch(key) else 0
+
+    def _encoded(self, keys: list[str]) -> Iterator[list[int]]:
+        yield from (e.ids for e in self.tokenizer.encode_batch_fast([self._text(k) for k in keys], add_special_tokens=False))
+
+    def _joined(self, keys: list[str], pieces: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of keys, and the number of each key's."""
+        ids, sizes = [], []
+        parts = [(keys[i : i + JOINED], np.cumsum(pieces[i : i + JOINED])) for i in range(0, len(keys), JOINED)]
+        texts = [(" " if self.blank_leads else "") + " ".join(k) for k, _ in parts]
+        for (k, upto), e in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            x = np.array(e.ids, np.uint32)
+            edges = np.flatnonzero(self.edge[x])
+            if len(edges) != upto[-1] or not len(x) or (not self.blank_leads and edges[-1] != len(x) - 1) or (self.blank_leads and edges[0]):
+                found = list(self._encoded(k))
+                ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
+                sizes.append(np.fromiter(map(len, found), np.int64))
+                continue
+            ends = np.append(edges[1:], len(x)) if self.blank_leads else edges[upto - 1] + 1
+            ids.append(x)
+            sizes.append(np.diff(ends, prepend=0))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _fill(self, new: list[str], first: int) -> None:
+        """Encode new segments and store their ids under numbers from first on."""
+        n = len(new)
+        while first + n > len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.begin, self.size))
+        pieces = [self._pieces(k) for k in new]
+        sure = np.array(pieces) > 0
+        for where in (np.flatnonzero(sure), np.flatnonzero(~sure)):
+            if not len(where):
+                continue
+            keys = [new[i] for i in where]
+            if sure[where[0]]:
+                ids, sizes = self._joined(keys, [pieces[i] for i in where])
+            else:
+                found = list(self._encoded(keys))
+                ids, sizes = np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64)
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.size[first + where] = sizes
+            self.begin[first + where] = self.used + np.cumsum(sizes) - sizes
+            self.used += len(ids)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of each text's."""
-        if self.n > STORE or self.used > 16 * STORE:
+        if len(self.at) > STORE or self.used > 16 * STORE:
             self._clear()
         every, counts = [], np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
@@ -68,14 +148,14 @@ class WordStore:
                 counts[i] = len(segs)
                 every += segs
         at = self.at
-        new = [x for x in dict.fromkeys(every) if x not in at]
-        over: dict[str, int] = {}
-        if new:
-            for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                (at if len(x) <= LONGEST else over)[x] = self._put(e.ids)
-        if over:
-            at = at | over
+        first = at.next
         which = np.fromiter(map(at.__getitem__, every), np.int64, len(every))
+        new, at.new = at.new, []
+        if new:
+            self._fill(new, first)
+            for x in new:
+                if len(x) > LONGEST:
+                    del at[x]
         sizes = self.size[which]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0

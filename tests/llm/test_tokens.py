@@ -26,8 +26,8 @@ def crc(ids):
 def test_word_store_equals_whole_texts(corpus):
     rng = random.Random(5)
     texts = [r["text"] for r in corpus.select("text").collect()]
-    texts += ["".join(rng.choice("ab é.'12 \n\t<|́　sS") for _ in range(rng.randint(0, 80))) for _ in range(400)]
-    texts += ["<|endoftext|> a <|endoftext|>", "a ́b", "İstanbul ΑΣ ΣΑΣ", "don't 's 't it 'll"]
+    texts += ["".join(rng.choice("ab é.'12 \n\t<|́　sS\x1c\u01c5ßſ") for _ in range(rng.randint(0, 80))) for _ in range(400)]
+    texts += ["a\x1cb \x1f c", "x\x00y \x00z", "\n lead", "a\nb\n\nc", "it's don't've 12a,b", "caf\u00e9 \u00bd \u00b2x \u00ad soft\u00adhyphen", "<|endoftext|> a <|endoftext|>", "a ́b", "İstanbul ΑΣ ΣΑΣ", "don't 's 't it 'll"]
     for name, blank in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
         s, one = WordStore(vocabulary(name), blank), plain(name)
         for _ in range(2):
