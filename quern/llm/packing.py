@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.tokens import store, vocabulary
+from quern.llm.tokens import BLOCK, store, vocabulary
 from quern.llm.words import blocks
 
 #: Ids of a sequence, most ids of a piece of a document's rest, sequences that a block fills.
@@ -100,9 +100,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
             held, held_ids = [], 0
             return out
 
-        for batch in blocks(batches):
+        for batch in blocks(batches, size=BLOCK):
             kind = batch.column("doc_id").type
-            flat, sizes = words.encode(batch.column("text").to_pylist())
+            flat, sizes = words.encode(batch.column("text"))
             ends = np.cumsum(sizes)
             out: list[tuple] = []
             for doc, a, b in zip(batch.column("doc_id").to_pylist(), ends - sizes, ends):

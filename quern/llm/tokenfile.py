@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import files
 from quern.llm.common import Workspace
-from quern.llm.tokens import store, vocabulary
+from quern.llm.tokens import BLOCK, store, vocabulary
 from quern.llm.words import blocks
 
 MAGIC, CHUNK_BITS, BLOCK_BITS = b"DACT1\n", 8, 512
@@ -139,8 +139,8 @@ def write_tokens(docs: DataFrame, work: Workspace, tokenizer: str, end_id: int,
             number, held = number + 1, []
             return pa.RecordBatch.from_pydict(row)
 
-        for batch in blocks(batches):
-            ids, sizes = words.encode(batch.column("text").to_pylist())
+        for batch in blocks(batches, size=BLOCK):
+            ids, sizes = words.encode(batch.column("text"))
             full = np.full(len(ids) + len(sizes), end_id, np.uint32)
             ends = np.cumsum(sizes + 1)
             inside = np.ones(len(full), bool)

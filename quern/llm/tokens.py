@@ -1,11 +1,12 @@
 """Encoding with a public tokenizer, each distinct word once.
 
-Both pre-tokenizers end a piece at a blank between two visible characters, so a text's ids are those of its
-blank-separated segments, one after the other. A worker encodes a segment with the tokenizers library when it first
-meets it and looks it up from then on. New segments are encoded together, joined by blanks, and told apart by the
+No piece of either pre-tokenizer goes on from a visible character into white space, so a text's ids are those of its
+segments, white space and the word after it, one after the other. Segments are offsets into the text buffer: a block's
+are dictionary-encoded by Arrow, and only distinct ones reach Python. A worker encodes a segment with the tokenizers
+library when it first meets it and looks it up from then on. New segments are encoded together and told apart by the
 vocabulary: a byte-level token begins with the blank, a word-end token closes a piece. Segments for which that isn't
-certain, and all if a count doesn't come out, are encoded one by one. Long segments are not stored; the store is emptied
-when it is full.
+certain, and all if a count doesn't come out, are encoded one by one. A text with white space beyond ASCII is one
+segment. Long segments are not stored; the store is emptied when it is full.
 """
 
 from __future__ import annotations
@@ -17,21 +18,32 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import regex
 
+from quern.llm.words import scan
+
 #: Segments that a worker stores (about 200 bytes each), the longest of them, and how many are joined.
-STORE, LONGEST, JOINED = 500_000, 48, 1000
-#: A blank at which no piece goes on: both neighbours are visible.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: White space other than single blanks and newlines between visible characters, or the mark of other segments.
-_ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]|\x00")
-#: Python takes these for white space, the tokenizers don't.
-_CONTROL = re.compile(r"[\x1c-\x1f]")
+STORE, LONGEST, JOINED = 600_000, 48, 1000
+#: Bytes of text that are best encoded at once.
+BLOCK = 4 << 20
 #: Segments whose normal form and pieces are certain; pieces as the word-level pre-tokenizer has them (a fixed value).
 _LATIN = re.compile(r"[!-~\xa1-\xac\xae-\u024f]+")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
+_LEAD = np.zeros(256, bool)
+_LEAD[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def _odd_spaces(data: np.ndarray) -> np.ndarray:
+    """Bytes where white space beyond [\\x20\\x09-\\x0D], or what some take for it, may begin."""
+    at = np.flatnonzero(_LEAD[data])
+    a, b = data[at], data[np.minimum(at + 1, len(data) - 1)]
+    odd = (a < 0x20) | ((a == 0xC2) & ((b == 0x85) | (b == 0xA0))) | ((a == 0xE1) & ((b == 0x9A) | (b == 0xA0)))
+    return at[odd | ((a == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((a == 0xE3) & (b == 0x80))]
+
+
 class _Numbers(dict):
     """Numbers keys in order of their first lookup and lists those that are new."""
 
@@ -48,7 +60,7 @@ class _Numbers(dict):
 
 
 class WordStore:
-    """ids of whole texts; blank_leads: does a segment carry the blank before it (byte-level) or is it dropped?"""
+    """ids of whole texts; blank_leads: does a word carry the blank before it (byte-level) or is it dropped?"""
 
     def __init__(self, path: str, blank_leads: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -67,41 +79,40 @@ class WordStore:
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
         self.begin, self.size = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
 
-    def segments(self, text: str) -> list[str]:
-        """Keys of the pieces of text that encode independently.
-
-        Byte-level: x stands for a blank and x, a zero byte and x for x alone. Else x stands for itself.
-        """
-        if not self.blank_leads:
-            return text.split() if not _CONTROL.search(text) else [text]
-        if _ODD.search(text):
-            parts = _CUT.split(text)
-            return ["\0" + parts[0], *["\0 " + x for x in parts[1:]]]
-        out: list[str] = []
-        for i, line in enumerate(text.split("\n")):
-            at = len(out)
-            out += line.split(" ")
-            out[at] = ("\0\n" if i else "\0") + out[at]
-        return out
-
-    def _text(self, key: str) -> str:
-        return key if not self.blank_leads else key[1:] if key[0] == "\0" else " " + key
+    def _segments(self, text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The segments of all texts as one array, and the number of each text's."""
+        w = scan(text)
+        off = w.offsets
+        ends = w.end
+        odd = _odd_spaces(w.data)
+        if len(odd):
+            rows = np.unique(np.searchsorted(off, odd, "right") - 1)
+            ends = ends[~np.isin(w.row, rows)]
+        cut = np.zeros(len(w.data) + 1, bool)
+        cut[ends] = cut[off] = True
+        cuts = np.flatnonzero(cut)
+        kind = pa.int32() if len(w.data) < 2**31 else pa.int64()
+        make = pa.StringArray if kind == pa.int32() else pa.LargeStringArray
+        segments = make.from_buffers(len(cuts) - 1, pa.array(cuts, kind).buffers()[1], pa.py_buffer(np.ascontiguousarray(w.data)))
+        return segments, np.diff(np.searchsorted(cuts, off))
 
     def _pieces(self, key: str) -> int:
-        """How many edges a key's ids have when it is joined with others; 0 if that isn't certain."""
+        """How many edges a segment's ids have when it is joined with others; 0 if that isn't certain."""
+        if len(key) < 2 or key[0] != " " or key[1].isspace():
+            return 0
         if self.blank_leads:
-            return int(key[0] != "\0")
-        return (1 if key.isalpha() else len(_PIECES.findall(key.lower()))) if _LATIN.fullmatch(key) else 0
+            return int(" " not in key[1:])
+        word = key[1:]
+        return (1 if word.isalpha() else len(_PIECES.findall(word.lower()))) if _LATIN.fullmatch(word) else 0
 
     def _encoded(self, keys: list[str]) -> Iterator[list[int]]:
-        yield from (e.ids for e in self.tokenizer.encode_batch_fast([self._text(k) for k in keys], add_special_tokens=False))
+        yield from (e.ids for e in self.tokenizer.encode_batch_fast(keys, add_special_tokens=False))
 
     def _joined(self, keys: list[str], pieces: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """ids of keys, and the number of each key's."""
         ids, sizes = [], []
         parts = [(keys[i : i + JOINED], np.cumsum(pieces[i : i + JOINED])) for i in range(0, len(keys), JOINED)]
-        texts = [(" " if self.blank_leads else "") + " ".join(k) for k, _ in parts]
-        for (k, upto), e in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        for (k, upto), e in zip(parts, self.tokenizer.encode_batch_fast(["".join(k) for k, _ in parts], add_special_tokens=False)):
             x = np.array(e.ids, np.uint32)
             edges = np.flatnonzero(self.edge[x])
             if len(edges) != upto[-1] or not len(x) or (not self.blank_leads and edges[-1] != len(x) - 1) or (self.blank_leads and edges[0]):
@@ -137,25 +148,22 @@ class WordStore:
             self.begin[first + where] = self.used + np.cumsum(sizes) - sizes
             self.used += len(ids)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the number of each text's."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the number of each text's; a null text has none."""
         if len(self.at) > STORE or self.used > 16 * STORE:
             self._clear()
-        every, counts = [], np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if t:
-                segs = self.segments(t)
-                counts[i] = len(segs)
-                every += segs
+        segments, counts = self._segments(texts)
+        coded = segments.dictionary_encode()
         at = self.at
         first = at.next
-        which = np.fromiter(map(at.__getitem__, every), np.int64, len(every))
+        number = np.fromiter(map(at.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
         new, at.new = at.new, []
         if new:
             self._fill(new, first)
             for x in new:
                 if len(x) > LONGEST:
                     del at[x]
+        which = number[coded.indices.to_numpy(zero_copy_only=False)] if len(number) else number
         sizes = self.size[which]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0

@@ -67,13 +67,14 @@ def runs(values: np.ndarray, k: int, base: int) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Words of a block: byte spans in data, the row of each, and where each row's words begin (one more than rows)."""
+    """Words of a block: byte spans in data, the row of each, where each row's words begin and its bytes (one more than rows)."""
 
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
     row: np.ndarray
     first: np.ndarray
+    offsets: np.ndarray
 
     def hashes(self, base: int = BYTE_BASE) -> np.ndarray:
         n = len(self.data)
@@ -110,7 +111,8 @@ def scan(text: pa.Array, keep: np.ndarray = NOT_SPACE, lower: bool = False) -> W
     begins[cut] = inside[1:-1][cut]
     ends[cut - 1] = inside[1:-1][cut - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return Words(data, start, end, np.searchsorted(off, start, "right") - 1, np.searchsorted(start, off))
+    first = np.searchsorted(start, off)
+    return Words(data, start, end, np.repeat(np.arange(len(off) - 1), np.diff(first)), first, off)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = BLOCK) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from quern.llm import packing, tokenfile
@@ -31,7 +32,7 @@ def test_word_store_equals_whole_texts(corpus):
     for name, blank in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
         s, one = WordStore(vocabulary(name), blank), plain(name)
         for _ in range(2):
-            ids, sizes = s.encode(texts)
+            ids, sizes = s.encode(pa.array(texts))
             at = np.concatenate([[0], np.cumsum(sizes)])
             for t, a, b in zip(texts, at[:-1], at[1:]):
                 assert ids[a:b].tolist() == one(t), repr(t)
