@@ -2,7 +2,7 @@
 
 The unit of editing is a word. Lines of ``near_words`` words or more are near-duplicates if one can be turned into the
 other by at most one word edit (substitution, insertion or deletion); shorter lines only if equal. Lines compare by
-their words after A-Z are lower-cased; white space doesn't matter. A line is removed if an earlier one (by document id,
+their words, unchanged; white space doesn't matter. A line is removed if an earlier one (by document id,
 then line number) is equal or near it. Lines without a word always stay.
 
 Plan, all built-in functions:
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import BROADCAST_KEYS, SPACES, Workspace, ascii_lower, let, words_of
+from quern.llm.common import BROADCAST_KEYS, SPACES, Workspace, let
 
 #: Words from which a line may match at one edit.
 NEAR_WORDS = 8
@@ -48,66 +48,95 @@ def within_one_edit(x: Column, y: Column) -> Column:
 PLACE = ["doc", "dh", "line"]
 
 
+def _plain(line: Column) -> Column:
+    """A line's words, joined by one blank."""
+    odd = line.contains("  ") | line.contains("\t") | line.contains("\r") | line.contains("\x0b") | line.contains("\x0c")
+    return F.trim(F.when(odd, F.regexp_replace(line, "[ \\t-\\r]+", " ")).otherwise(line))
+
+
 def _lines(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(doc, dh, line, s): lines that have a word, s the words joined by one blank."""
     x = F.col(text)
-    rows = docs.select(F.col(key).alias("doc"), F.xxhash64(x).alias("dh"), F.posexplode(F.split(ascii_lower(x), "\n")).alias("line", "raw"))
-    return rows.filter(F.translate("raw", SPACES, "") != "").select(*PLACE, words_of(F.col("raw")).alias("w"))
+    rows = docs.select(F.col(key).alias("doc"), F.xxhash64(x).alias("dh"), F.posexplode(F.split(x, "\n")).alias("line", "raw"))
+    return rows.select(*PLACE, _plain(F.col("raw")).alias("s")).filter("s <> ''")
+
+
+def _part(s: Column, k: Column) -> Column:
+    """The first k words, or the last -k."""
+    return F.call_function("substring_index", s, F.lit(" "), k)
+
+
+def _n_words(s: Column) -> Column:
+    return F.char_length(s) - F.char_length(F.replace(s, F.lit(" "), F.lit(""))) + 1
 
 
-def _halves(w: Column) -> list[Column]:
+def _halves(s: Column, n: Column) -> list[Column]:
     """Hashes of which near lines share one: first and last half for its own length, then for one word fewer."""
-    n, out = F.size(w), []
+    out = []
     for length in (n, n - 1):
         m = F.floor(length / 2).cast("int")
-        out += [F.xxhash64(length, F.lit("first"), F.slice(w, F.lit(1), m)), F.xxhash64(length, F.lit("last"), F.slice(w, n - length + m + 1, length - m))]
+        out += [F.xxhash64(length, F.lit("first"), _part(s, m)), F.xxhash64(length, F.lit("last"), _part(s, m - length))]
     return out
 
 
-def _variants(w: Column, shared: Column, near_words: int) -> Column:
+def _variants(s: Column, n: Column, shared: Column, near_words: int) -> Column:
     """(i, v, whole): the line itself and its variants at the positions that its shared half keys leave open."""
-    n = F.size(w)
-    without = lambda i: F.xxhash64(F.slice(w, F.lit(1), i), F.lit("|"), F.slice(w, i + 2, F.size(w)))
-    alone = lambda i: F.xxhash64(F.concat(F.slice(w, F.lit(1), i), F.slice(w, i + 2, F.size(w))))
+
+    def without(i: Column) -> Column:
+        head, tail = _part(s, i), _part(s, i + 1 - n)
+        return F.when(i == 0, tail).when(i == n - 1, head).otherwise(F.concat(head, F.lit(" "), tail))
+
     one = lambda i, v, whole: F.struct(i.cast("int").alias("i"), v.alias("v"), F.lit(whole).alias("whole"))
     open_at = lambda m, k: lambda i: ((i >= m) & F.array_contains(shared, k)) | ((i < m) & F.array_contains(shared, k + 1))
     at = F.sequence(F.lit(0), n - 1)
-    same = F.transform(F.filter(at, open_at(F.floor(n / 2), 0)), lambda i: one(i, without(i), False))
-    fewer = F.transform(F.filter(at, open_at(F.floor((n - 1) / 2), 2)), lambda i: one(F.lit(-1), alone(i), False))
-    whole = F.array(one(F.lit(-1), F.xxhash64(w), True))
+    same = F.transform(F.filter(at, open_at(F.floor(n / 2), 0)), lambda i: one(i, F.xxhash64(without(i), i), False))
+    fewer = F.transform(F.filter(at, open_at(F.floor((n - 1) / 2), 2)), lambda i: one(F.lit(-1), F.xxhash64(without(i)), False))
+    whole = F.array(one(F.lit(-1), F.xxhash64(s), True))
     return F.when(n < near_words, whole).otherwise(F.concat(whole, same, fewer))
 
 
+def _listed(rows: DataFrame, work: Workspace, name: str, *values: Column) -> DataFrame:
+    """A list per document of (line, values); broadcast where a count of documents and entries allows it."""
+    lists = work.save(rows.groupBy("doc", "dh").agg(F.collect_list(F.struct("line", *values)).alias("entries")), name)
+    n, entries = lists.agg(F.count("*"), F.coalesce(F.sum(F.size("entries")), F.lit(0))).first()
+    return F.broadcast(lists) if n <= BROADCAST_KEYS and entries <= 4 * BROADCAST_KEYS else lists
+
+
 def duplicate_lines(docs: DataFrame, work: Workspace, text: str = "text", key: str = "doc_id", near_words: int = NEAR_WORDS) -> DataFrame:
     """(doc, dh, line) of each line to remove: doc is the document's id, dh the xxhash64 of its text, line from 0."""
-    lines = _lines(docs, text, key)
-    h = [F.xxhash64("w").alias("h"), F.xxhash64(F.lit("second"), "w").alias("h2")]
-    places = work.save(lines.select(*PLACE, *h, F.size("w").alias("n"), *(k.alias(f"k{j}") for j, k in enumerate(_halves(F.col("w"))))), "places")
-    first = places.groupBy("h", "h2").agg(F.min(F.struct(*PLACE)).alias("at"), F.count("*").alias("copies"), F.first("n").alias("n"), *(F.first(f"k{j}").alias(f"k{j}") for j in range(4)))
+    s, n = F.col("s"), F.col("n")
+    lines = _lines(docs, text, key).withColumn("n", _n_words(s))
+    h = [F.xxhash64("s").alias("h"), F.xxhash64(F.lit("second"), "s").alias("h2")]
+    places = work.save(lines.select(*PLACE, *h, "n", *(F.when(n >= near_words - 1, k).alias(f"k{j}") for j, k in enumerate(_halves(s, n)))), "places")
+    first = places.groupBy("h", "h2").agg(F.min(F.struct(*PLACE)).alias("at"), F.count("*").alias("copies"), *(F.first(f"k{j}").alias(f"k{j}") for j in range(4)))
     first = work.save(first, "first")
 
     # Lines that share a half key with another line; a text is one row here.
-    halves = first.filter(F.col("n") >= near_words - 1).select("at", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("j", "half"))
+    halves = first.filter("k0 is not null").select("h", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("j", "half"))
     twice = halves.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half")
-    some = halves.join(twice, "half", "left_semi").groupBy("at").agg(F.collect_set("j").alias("shared"))
-    some = work.save(some.select("at.*", "shared"), "candidates")
+    shared = halves.join(twice, "half", "left_semi").groupBy("h").agg(F.collect_set("j").alias("shared"))
+    some = _listed(first.join(shared, "h").select("at.*", "shared"), work, "candidates", F.col("shared"))
 
     # Their words, and the deletion neighbourhoods.
-    joined = _lines(docs, text, key).alias("l").join(F.broadcast(some) if some.count() <= BROADCAST_KEYS else some, [F.col(f"l.{c}").eqNullSafe(some[c]) for c in PLACE])
-    candidates = work.save(joined.select(*(f"l.{c}" for c in PLACE), "w", "shared").dropDuplicates(PLACE), "words")
-    variants = candidates.select(F.struct(*PLACE).alias("at"), F.inline(_variants(F.col("w"), F.col("shared"), near_words)))
+    x = F.col(f"d.{text}")
+    met = docs.alias("d").join(some, F.col(f"d.{key}").eqNullSafe(F.col("doc")) & (F.xxhash64(x) == F.col("dh")))
+    met = met.select("doc", "dh", F.inline(let(F.split(x, "\n"), lambda r: F.transform("entries", lambda e: F.struct(e["line"].alias("line"), e["shared"].alias("shared"), F.get(r, e["line"]).alias("raw"))))))
+    candidates = work.save(met.select(*PLACE, "shared", _plain(F.col("raw")).alias("s")), "words")
+    variants = candidates.withColumn("n", _n_words(s)).select(F.struct(*PLACE).alias("at"), F.inline(_variants(s, n, F.col("shared"), near_words)))
     variants = work.save(variants, "variants")
     ends = variants.groupBy("i", "v").agg(F.min(F.when(F.col("whole"), F.col("at"))).alias("whole_at"), F.min(F.when(~F.col("whole"), F.col("at"))).alias("part_at"), F.count("*").alias("c")).filter("c > 1")
     partner = F.when((F.col("i") < 0) & ~F.col("whole"), F.col("whole_at")).otherwise(F.col("part_at"))
     pairs = variants.join(ends, ["i", "v"]).select("at", partner.alias("by")).filter("by < at").distinct()
 
     # Verify with the words of both.
-    side = lambda name: candidates.select(F.struct(*PLACE).alias(name), F.col("w").alias(f"{name}_w"))
-    near = pairs.join(side("at"), "at").join(side("by"), "by").filter(within_one_edit(F.col("at_w"), F.col("by_w"))).select("at").distinct()
+    side = lambda name: candidates.select(F.struct(*PLACE).alias(name), F.col("s").alias(f"{name}_s"))
+    within = let(F.split("at_s", " "), lambda p: let(F.split("by_s", " "), lambda q: within_one_edit(p, q)))
+    near = pairs.join(side("at"), "at").join(side("by"), "by").filter(within).select("at").distinct()
     near = work.save(near.withColumn("near", F.lit(True)), "near")
 
     gone = first.join(near, "at", "left").filter("copies > 1 or near").select("h", "h2", "at", F.coalesce("near", F.lit(False)).alias("near"))
-    all_copies = places.join(gone, ["h", "h2"]).filter(F.col("near") | (F.struct(*PLACE) != F.col("at")))
-    return work.save(all_copies.select(*PLACE).distinct(), "removed")
+    all_copies = places.select(*PLACE, "h", "h2").join(gone, ["h", "h2"]).filter(F.col("near") | (F.struct(*PLACE) != F.col("at")))
+    return all_copies.select(*PLACE).distinct()
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", near_words: int = NEAR_WORDS, work: Workspace | None = None) -> DataFrame:
@@ -116,18 +145,16 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", near_w
     n_chars, if there is such a column, is left to the caller.
     """
     work = work or Workspace(docs.sparkSession, "linededup")
-    removed = duplicate_lines(docs, work, text, key, near_words)
-    small = removed.count() <= BROADCAST_KEYS
-    lists = removed.groupBy("doc", "dh").agg(F.collect_list("line").alias("_gone"))
+    lists = _listed(duplicate_lines(docs, work, text, key, near_words), work, "removed")
     x = F.col(f"d.{text}")
-    joined = docs.alias("d").join(F.broadcast(lists) if small else lists, F.col(f"d.{key}").eqNullSafe(F.col("doc")) & (F.xxhash64(x) == F.col("dh")), "left")
+    joined = docs.alias("d").join(lists, F.col(f"d.{key}").eqNullSafe(F.col("doc")) & (F.xxhash64(x) == F.col("dh")), "left")
     raw = F.split(x, "\n")
-    stay = let(raw, lambda r: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(r) - 1), F.col("_gone")), lambda i: F.get(r, i)), "\n"))
-    n_lines = F.size(F.filter(raw, lambda r: F.translate(r, SPACES, "") != ""))
+    stay = let(raw, lambda r: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(r) - 1), F.col("entries.line")), lambda i: F.get(r, i)), "\n"))
+    n_lines = F.size(F.filter(raw, lambda r: F.trim(r, F.lit(SPACES)) != ""))
     return joined.select(
-        *(F.when(F.col("_gone").isNull(), x).otherwise(stay).alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns),
+        *(F.when(F.col("entries").isNull(), x).otherwise(stay).alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns),
         F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("entries"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
@@ -140,7 +167,7 @@ def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
 #: The same by self-joins on half lines and a literal edit test; documents ids are distinct in the tables that it runs on.
 SQL = f"""
 WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents WHERE text IS NOT NULL),
-l AS (SELECT doc_id, line, raw, regexp_extract_all(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM d),
+l AS (SELECT doc_id, line, raw, regexp_extract_all(raw, '[^\x20\x09-\x0D]+') AS w FROM d),
 f AS (SELECT w, len(w) AS n, min((doc_id, line)) AS pos FROM l WHERE len(w) > 0 GROUP BY w),
 h AS (SELECT w, n, pos, unnest([(n, 'first', w[1 : n // 2]), (n, 'last', w[n // 2 + 1 : n]),
                                (n - 1, 'first', w[1 : (n - 1) // 2]), (n - 1, 'last', w[(n - 1) // 2 + 2 : n])]) AS half FROM f WHERE n >= {NEAR_WORDS - 1}),
