@@ -46,7 +46,7 @@ def line_chunks(docs: DataFrame, text: str = "text", budget: int = 1500, key: st
 
 def request_batches(items: DataFrame, group: str, order: str, tokens: str, most_items: int = 128, most_tokens: int = 80_000) -> DataFrame:
     """(group, order, batch): consecutive items under both limits; the first item of a batch is always accepted."""
-    rows = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, F.col(tokens).cast("long").alias("t")))).alias("x"))
-    sizes = F.transform("x", lambda p: F.struct(F.lit(1).cast("long").alias("s0"), p["t"].alias("s1")))
-    rows = rows.select(group, "x", _group(sizes, [most_items, most_tokens]).alias("g"))
-    return rows.select(group, F.explode(F.arrays_zip("x", "g")).alias("p")).select(group, F.col(f"p.x.{order}").alias(order), F.col("p.g").alias("batch"))
+    rows = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tokens).cast("long").alias("t")))).alias("_x"))
+    sizes = F.transform("_x", lambda p: F.struct(F.lit(1).cast("long").alias("s0"), p["t"].alias("s1")))
+    rows = rows.select(group, F.col("_x"), _group(sizes, [most_items, most_tokens]).alias("_g"))
+    return rows.select(group, F.explode(F.arrays_zip("_x", "_g")).alias("_p")).select(group, F.col("_p._x.o").alias(order), F.col("_p._g").alias("batch"))

@@ -12,12 +12,20 @@ from quern.functions.text import decoded, file_class, gold_files
 INSTANCE = "instance_id string, repo string, base_commit string, problem_statement string, issue string, patch string, _split string"
 
 
+def _binary(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+
+
 def scan_files(spark: SparkSession, root: str, glob: str = "*.py") -> DataFrame:
-    """(path relative to root, size, mtime in seconds, content) of all files below root."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    """(path relative to root, size, mtime in seconds, content) of all files below root; the reader leaves empty ones out."""
     base = root.rstrip("/") + "/"
     at = F.instr("path", F.lit(base))
-    return raw.select(F.substring(F.col("path"), at + len(base), F.length("path")).alias("path"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"), "content")
+    return _binary(spark, root, glob).select(F.substring(F.col("path"), at + len(base), F.length("path")).alias("path"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"), "content")
+
+
+def count_listed(spark: SparkSession, root: str, glob: str = "*.py") -> int:
+    """Files below root, empty ones too, from the listing that the reader makes."""
+    return len(_binary(spark, root, glob).inputFiles())
 
 
 def eligible_files(files: DataFrame) -> DataFrame:
@@ -30,9 +38,13 @@ def smoke_files(files: DataFrame, n: int = 10) -> DataFrame:
     return files.filter(~F.array_contains(F.split("path", "/"), ".git") & (F.col("size") > 64)).orderBy(F.split("path", "/")).limit(n)
 
 
-def filter_stats(files: DataFrame) -> DataFrame:
+def filter_stats(files: DataFrame, listed: int | None = None) -> DataFrame:
+    """Files by class; listed: how many there are if the scan left empty ones out."""
     kind = file_class(F.col("path"), F.col("size"))
-    return files.select(kind.alias("k")).agg(F.count("*").alias("total"), *(F.count_if(F.col("k") == k).alias(k) for k in ("kept", "pattern", "too_big", "empty")))
+    out = files.select(kind.alias("k")).agg(F.count("*").alias("total"), *(F.count_if(F.col("k") == k).alias(k) for k in ("kept", "pattern", "too_big", "empty")))
+    if listed is None:
+        return out
+    return out.select(F.lit(listed).cast("long").alias("total"), "kept", "pattern", "too_big", (F.col("empty") + F.lit(listed) - F.col("total")).alias("empty"))
 
 
 def read_texts(files: DataFrame) -> DataFrame:
