@@ -13,7 +13,8 @@ def read_log(spark: SparkSession, folder: str, schema, files_per_trigger: int =
 
 def windowed(log: DataFrame, time: str = "ts", by: str = "event_type", value: str = "value", late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """(start, by, n, mean, high) of tumbling windows; rows later than the watermark don't count. Batch or stream."""
-    rows = log.withWatermark(time, late) if log.isStreaming else log
+    rows = log.withColumn(time, F.col(time).cast("timestamp"))
+    rows = rows.withWatermark(time, late) if log.isStreaming else rows
     out = rows.groupBy(F.window(time, width).alias("w"), by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("high"))
     return out.select(F.col("w.start").alias("start"), by, "n", "mean", "high")
 
