@@ -11,16 +11,17 @@ EXCLUDE_PATTERNS = ["*/tests/*", "*/test/*", "*_test.py", "*_tests.py", "test_*.
 MAX_FILE_BYTES = 1_000_000
 #: Names that are no identifiers of interest.
 NOT_IDENTIFIERS = ["True", "False", "None", "self", "cls", "args", "kwargs", "lambda", "return", "yield", "import", "from", "def", "class"]
-#: Identifier shapes, in order of application: dotted, camel case, upper case, snake case.
+#: Identifier shapes, in order of application: dotted, camel case, upper case, snake case.
 SHAPES = [
     r"\b[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+\b",
-    r"\b[A-Z][A-Za-z0-9]+(?:[A-Z][A-Za-z0-9]+)+\b",
+    r"\b[A-Z][a-zA-Z0-9]+(?:[A-Z][a-zA-Z0-9]+)+\b",
     r"\b[A-Z][A-Z0-9_]*[A-Z0-9]\b",
     r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b",
 ]
+#: Back-quoted text, names after def and class, what is an identifier as a whole.
 QUOTED, DEFINED, WHOLE = r"`([^`\n]{1,80})`", r"\b(?:def|class)\s+([A-Za-z_][A-Za-z0-9_]*)", r"^[A-Za-z_][A-Za-z0-9_.]*$"
-#: What the router takes for an identifier.
-ROUTER_SHAPE = r"[A-Za-z_][A-Za-z0-9_]*\.[A-Za-z_][A-Za-z0-9_]*|[a-z]+_[a-z0-9_]+|[A-Z][a-z0-9]+[A-Z][A-Za-z0-9]*|[A-Z]{2,}_[A-Z0-9_]+"
+#: Fixed value: what the router takes for an identifier.
+ROUTER_SHAPE = r"\b[a-zA-Z_][a-zA-Z0-9_]*[._][a-zA-Z_][a-zA-Z0-9_]*\b|\b[a-z]+[A-Z]\w*\b|\b[a-z]+_[a-z_]+\b"
 
 
 def glob_regex(pattern: str) -> str:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import routed_level
+from quern.functions.text import ROUTER_SHAPE, routed_level
 from quern.functions.vectors import doubles
 from quern.operators import diagnostics, evaluate, plugins, ranking
 from quern.operators.similarity import chunk_scores, pooled_vectors, segment_scores, segments
@@ -114,7 +114,7 @@ for _how, _expr in (("sum", "0.25 * n0.x + 0.25 * n1.x + 0.25 * n2.x + 0.25 * n3
     query(sql(*ALL_LEVELS, SCALED, f"fu AS (SELECT query_id, file_id, {_expr} AS score FROM n0 JOIN n1 USING (query_id, file_id) JOIN n2 USING (query_id, file_id) JOIN n3 USING (query_id, file_id))", TOP_OF("fu"), out=OUT))(_mg)
 
 
-ROUTER = r"[A-Za-z_][A-Za-z0-9_]*\.[A-Za-z_][A-Za-z0-9_]*|[a-z]+_[a-z0-9_]+|[A-Z][a-z0-9]+[A-Z][A-Za-z0-9]*|[A-Z]{2,}_[A-Z0-9_]+"
+ROUTER = ROUTER_SHAPE
 ROUTE_TEXT = "CASE WHEN item_id % 3 = 0 THEN text || ' see core.utils' WHEN item_id % 3 = 1 THEN repeat(text || ' ', 4) ELSE text END"
 
 
