@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import Workspace
-from quern.llm.decontaminate import remove_hits, scan_hits
+from quern.llm.decontaminate import remove_hits
 from quern.llm.linededup import dedup_lines
 from quern.llm.neardup import keep_one
 from quern.llm.packing import pack
@@ -37,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with windows of two or more benchmark items go; a single item's passages are cut out of others."""
-    return remove_hits(scan_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return remove_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

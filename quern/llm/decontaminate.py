@@ -67,19 +67,30 @@ def ngram_sets(benchmark: DataFrame, n: int, max_windows: int, key: str, text: s
     yield one.close()
 
 
-def scan_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, key: str = "item_id", text: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """docs with n_words, hit_words (positions of hit words, ascending) and hit_items (ids of items with a window there, sorted strings)."""
-    spark, names = docs.sparkSession, docs.columns
-    schema = T.StructType([*(f for f in docs.schema.fields if f.name not in ("n_words", "hit_words", "hit_items")), T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.IntegerType())), T.StructField("hit_items", T.ArrayType(T.StringType()))])
-    names = [f.name for f in schema.fields[:-3]]
-    out = docs.select(*(F.col(f"`{c}`") for c in names))
-    for block in ngram_sets(benchmark, n, max_windows, key, "text"):
-        shared = spark.sparkContext.broadcast(block)
-        out = out.mapInArrow(_scanner(shared, text, names), schema)
+#: Columns that a scan adds.
+ADDED = ("n_words", "hit_words", "hit_items", "cut_text")
+
+
+def scan_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, key: str = "item_id", text: str = "text", max_windows: int = MAX_WINDOWS, cut: bool = False) -> DataFrame:
+    """docs with n_words, hit_words (positions of hit words, ascending) and hit_items (ids of items with a window there, sorted strings).
+
+    cut: also cut_text, the text without its hit spans, each from its first word to its last.
+    """
+    spark = docs.sparkSession
+    kept = [f for f in docs.schema.fields if f.name not in ADDED]
+    names = [f.name for f in kept]
+    out, sets = docs.select(*(F.col(f"`{c}`") for c in names)), ngram_sets(benchmark, n, max_windows, key, "text")
+    block = next(sets)
+    while block:
+        after = next(sets, None)
+        last = cut and after is None
+        schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.IntegerType())), T.StructField("hit_items", T.ArrayType(T.StringType())), *([T.StructField("cut_text", T.StringType())] if last else [])])
+        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(block), text, names, last), schema)
+        block = after
     return out
 
 
-def _scanner(shared, text: str, names: list[str]):
+def _scanner(shared, text: str, names: list[str], cut: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: NgramSet = shared.value
         for batch in blocks(batches, text):
@@ -107,38 +118,37 @@ def _scanner(shared, text: str, names: list[str]):
             else:
                 words = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)), pa.int32()), pa.array(place, pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(np.diff(w.first), pa.int64()), words, pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                [*names, "n_words", "hit_words", "hit_items"],
+                [*(batch.column(c) for c in names), pa.array(np.diff(w.first), pa.int64()), words, pa.array([sorted(x) for x in items], pa.list_(pa.string())), *([_cut(batch.column(text), words)] if cut else [])],
+                [*names, "n_words", "hit_words", "hit_items", *(["cut_text"] if cut else [])],
             )
 
     return run
 
 
-def remove_hits(scanned: DataFrame, text: str = "text", drop_items: int = 2) -> DataFrame:
-    """Documents with windows of fewer than drop_items items; their hit spans, from the first word to the last, are cut.
+def _cut(column: pa.Array, words: pa.Array) -> pa.Array:
+    """Texts without the spans of consecutive hit words."""
+    texts = column.to_pylist()
+    for r, hits in enumerate(words.to_pylist()):
+        if not hits:
+            continue
+        w, raw, kept, last = scan(pa.array([texts[r]]), ALNUM, lower=True), texts[r].encode(), [], 0
+        for span in np.split(np.array(hits), np.flatnonzero(np.diff(hits) > 1) + 1):
+            kept.append(raw[last : w.start[span[0]]])
+            last = w.end[span[-1]]
+        texts[r] = b"".join([*kept, raw[last:]]).decode()
+    return pa.array(texts, pa.string())
 
-    scanned is what scan_hits returns; its three columns go. n_chars, if it is there, follows the text.
-    """
-    names = [c for c in scanned.columns if c not in ("n_words", "hit_words", "hit_items")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, text):
-            texts = batch.column(text).to_pylist()
-            for r, hits in enumerate(batch.column("hit_words").to_pylist()):
-                if not hits:
-                    continue
-                w, raw, kept, last = scan(pa.array([texts[r]]), ALNUM, lower=True), texts[r].encode(), [], 0
-                for span in np.split(np.array(hits), np.flatnonzero(np.diff(hits) > 1) + 1):
-                    kept.append(raw[last : w.start[span[0]]])
-                    last = w.end[span[-1]]
-                texts[r] = b"".join([*kept, raw[last:]]).decode()
-            new = {text: pa.array(texts, pa.string())}
-            if "n_chars" in names:
-                new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], batch.column("n_chars").type)
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names)
-
-    some = scanned.filter(F.size("hit_items") < drop_items).select(*(F.col(f"`{c}`") for c in names), "hit_words")
-    return some.mapInArrow(run, T.StructType([f for f in scanned.schema.fields if f.name in names]))
+def remove_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", drop_items: int = 2, **options) -> DataFrame:
+    """docs without those that hold windows of drop_items items or more; other hit spans are cut out of the text.
+
+    n_chars, if it is there, follows the text.
+    """
+    found = scan_hits(docs, benchmark, text=text, cut=True, **options).filter(F.size("hit_items") < drop_items)
+    new = {text: F.col("cut_text").alias(text)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.size("hit_words") > 0, F.char_length("cut_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return found.select(*(new.get(c, F.col(f"`{c}`")) for c in docs.columns))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
