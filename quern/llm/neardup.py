@@ -5,12 +5,18 @@
 2. Documents with an equal band key share a bucket. A bucket is never paired off. In the first round its members meet
    leaders, drawn by hash, one for each of a few orders; each document is verified against the few leaders with which it
    shares most buckets. Components of the verified links follow.
-3. In the second round buckets that hold several components are left. Their members outside the bucket's largest
-   component meet all members of other components, so every two documents of one bucket are linked, compared, or
-   already in one component: no link between components is lost to the star.
-4. Verification first compares one-byte signatures, dropping only what is five standard errors below the threshold,
-   then the full shingle sets.
-5. Components are closed by alternating large-star and small-star.
+3. Then components grow together in rounds. In each bucket with several, all members are set against a pivot, the
+   document of its largest component whose buckets hold most documents. The pivot's shingles and those that several of its
+   documents share are a common set. Documents outside the largest component are verified against the pivot and against
+   the documents nearest to the common set, until nothing is linked any more.
+4. What is still divided: let m(s) be the shingles of s in the common set, the others rare, and s outside the largest
+   component. A document c with q of s's rare shingles has at most m(s) + q in common with s, so it can be linked with s
+   only if its size is at most ((100 + t) / t) * (m(s) + q) - size(s), and likewise with m(c). So s meets, of other components, those that share
+   a rare shingle, joined on shingles, and those so small, joined on size classes. No link between two documents of a
+   bucket is lost, and a group of thousands of copies isn't paired off.
+5. Verification first compares one-byte signatures, dropping only what is five standard errors below the threshold,
+   then the full shingle sets; the last round's pairs passed the bounds and go to the sets at once.
+6. Components are closed by alternating large-star and small-star.
 
 A pair at the threshold shares no band with probability (1 - 0.8**rows)**bands, 3e-8 with 5 rows and 44 bands.
 
@@ -34,6 +40,11 @@ from quern.llm.words import U64, Words, blocks, mix, scan
 
 #: Bands, minima of each, orders in which leaders are drawn, leaders that a document is verified against at first.
 BANDS, ROWS, ORDERS, TRIES = 44, 5, 2, 2
+#: Documents with a neighbour in a task, and tasks for few of them.
+TASK_MEMBERS, MEMBER_TASKS = 1000, 6
+#: Rounds in which components grow together, documents near a common set that others meet in them, and documents that
+#: must share a shingle for it to be in the common set.
+GROWTHS, NEAREST, COMMON = 3, 3, 16
 
 
 def shingle_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +105,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, key: str, text: s
     return plain.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>, sig binary")
 
 
-def _likely(pairs: DataFrame, sigs: DataFrame, threshold: float, total: int) -> DataFrame:
+def _likely(pairs: DataFrame, sigs: DataFrame, threshold: float, total: int, tasks: int) -> DataFrame:
     """Pairs (u, v) whose one-byte signatures don't rule the threshold out."""
     least = total * (threshold - 5 * (threshold * (1 - threshold) / total) ** 0.5)
 
@@ -104,11 +115,11 @@ def _likely(pairs: DataFrame, sigs: DataFrame, threshold: float, total: int) ->
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array((x == y).sum(1) >= least))
 
     side = lambda c, s: sigs.select(F.col("doc_id").alias(c), F.col("sig").alias(s))
-    both = pairs.join(side("u", "su"), "u").join(side("v", "sv"), "v").select("u", "v", "su", "sv")
+    both = pairs.join(side("u", "su"), "u").coalesce(tasks).join(side("v", "sv"), "v").select("u", "v", "su", "sv").coalesce(tasks)
     return both.mapInArrow(run, "u long, v long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, tasks: int) -> DataFrame:
     """Pairs (u, v) with 100 * intersection >= percent * union of their full shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,10 +137,90 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda c, s: texts.select(F.col("doc_id").alias(c), F.col("text").alias(s))
-    both = pairs.join(side("u", "tu"), "u").join(side("v", "tv"), "v").select("u", "v", "tu", "tv")
+    both = pairs.join(side("u", "tu"), "u").coalesce(tasks).join(side("v", "tv"), "v").select("u", "v", "tu", "tv").coalesce(tasks)
     return both.mapInArrow(run, "u long, v long")
 
 
+def _relations(pairs: DataFrame, texts: DataFrame, n: int, tasks: int) -> DataFrame:
+    """(u, v, size_u, size_v, common, own: shingles of u that v hasn't) of pairs (u, v)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None)
+        for big in batches:
+            for b in blocks(blocks([big], "tu"), "tv"):
+                values, begin = shingle_sets(scan(b.column("tu"), lower=True), n)
+                sizes, own = [], []
+                for i, (v, t) in enumerate(zip(b.column("v").to_pylist(), b.column("tv"))):
+                    if last[0] != v:
+                        last = (v, shingle_sets(scan(pa.array([t.as_py()]), lower=True), n)[0])
+                    x = values[begin[i] : begin[i + 1]]
+                    own.append(np.setdiff1d(x, last[1], assume_unique=True).view(np.int64))
+                    sizes.append((len(x), len(last[1]), len(x) - len(own[-1])))
+                cols = [pa.array(c, pa.int64()) for c in zip(*sizes)] if sizes else [pa.array([], pa.int64())] * 3
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, pa.array(own, pa.list_(pa.int64()))], ["u", "v", "size_u", "size_v", "common", "own"])
+
+    side = lambda c, s: texts.select(F.col("doc_id").alias(c), F.col("text").alias(s))
+    both = pairs.join(side("u", "tu"), "u").coalesce(tasks).join(side("v", "tv"), "v").select("u", "v", "tu", "tv").coalesce(tasks)
+    return both.mapInArrow(run, "u long, v long, size_u long, size_v long, common long, own array<long>")
+
+
+def _size_class(size):
+    """Classes of about 5 percent."""
+    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.log(F.lit(1.05))).cast("int")
+
+
+def _divided(members: DataFrame, found: DataFrame, ids: DataFrame, work: Workspace, label: str, tasks: int) -> DataFrame:
+    """(doc_id, component, largest, pivot) of all members of buckets that hold several components.
+
+    largest: the bucket's component with most members in it; pivot: the document of that with the greatest weight.
+    """
+    found = found.coalesce(tasks)
+    named = members.select("bucket", "doc_id").coalesce(tasks).join(found, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")).coalesce(tasks)
+    held = work.save(named.groupBy("bucket", "component").agg(F.count("*").alias("c")).coalesce(tasks), f"{label}-held")
+    largest = held.groupBy("bucket").agg(F.max(F.struct("c", "component"))["component"].alias("largest"), F.count("*").alias("n")).filter("n > 1").select("bucket", "largest").coalesce(tasks)
+    pivots = ids.join(found, F.col("doc_id") == F.col("node"), "left").groupBy(F.coalesce("component", "doc_id").alias("largest")).agg(F.max(F.struct("weight", "doc_id"))["doc_id"].alias("pivot")).coalesce(tasks)
+    rows = named.join(largest, "bucket").select("doc_id", "component", "largest").coalesce(tasks).distinct().coalesce(tasks).join(pivots, "largest", "left").coalesce(tasks)
+    return work.save(rows.select("doc_id", "component", "largest", "pivot"), label)
+
+
+def _common(divided: DataFrame, texts: DataFrame, n: int, work: Workspace, label: str, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """(relations with pivots, the same with in_common and rare: shingles of u in its pivot's common set, and others)."""
+    pairs = divided.select(F.col("doc_id").alias("u"), F.col("pivot").alias("v")).distinct().coalesce(tasks)
+    against = work.save(_relations(pairs, texts, n, tasks), f"{label}-relations")
+    own = against.select("u", "v", F.explode("own").alias("x"))
+    some = own.groupBy("v", "x").agg(F.count("*").alias("c")).filter(F.col("c") >= COMMON).coalesce(tasks)
+    shared = own.join(some, ["v", "x"], "left_semi").groupBy("u", "v").agg(F.collect_list("x").alias("shared")).coalesce(tasks)
+    both = against.join(shared, ["u", "v"], "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<long>")))
+    both = both.select("u", "v", "size_u", (F.col("common") + F.size("shared")).alias("in_common"), F.array_except("own", "shared").alias("rare"))
+    return against, work.save(both.coalesce(tasks), f"{label}-related")
+
+
+def _nearest(divided: DataFrame, related: DataFrame) -> DataFrame:
+    """Pairs (u, v): documents outside the largest component with the ones nearest to their pivot's common set."""
+    score = F.struct(F.col("size_u") - 2 * F.col("in_common"), "u")
+    best = related.groupBy("v", F.pmod(F.xxhash64("u"), F.lit(NEAREST)).alias("class")).agg(F.min(score)["u"].alias("near")).select(F.col("v").alias("pivot"), "near")
+    ask = divided.filter("component <> largest").select("doc_id", "pivot").join(best, "pivot").select(F.col("doc_id").alias("u"), F.col("near").alias("v"))
+    return ask.unionByName(best.select(F.col("near").alias("u"), F.col("pivot").alias("v"))).filter("u <> v").distinct()
+
+
+def _rest(divided: DataFrame, related: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of different components that a bucket may still link."""
+    rows = divided.join(related, (F.col("doc_id") == F.col("u")) & (F.col("pivot") == F.col("v"))).select("doc_id", "component", "largest", "pivot", "size_u", "in_common", "rare")
+    reach = (100 + percent) * F.col("in_common") / percent - F.col("size_u")
+    ask = rows.filter("component <> largest").select(F.col("doc_id").alias("s"), F.col("component").alias("cs"), "pivot", F.col("size_u").alias("size_s"), "rare", reach.alias("reach"))
+    other = rows.select(F.col("doc_id").alias("c"), F.col("component").alias("cc"), "pivot", F.col("size_u").alias("size_c"), F.col("rare").alias("rare_c"), reach.alias("reach_c"))
+    share = ask.select("s", "cs", "pivot", "size_s", "reach", F.explode("rare").alias("x")).join(other.select("c", "cc", "pivot", "size_c", "reach_c", F.explode("rare_c").alias("x")), ["pivot", "x"]).filter("cs <> cc")
+    share = share.groupBy("s", "c", "pivot").agg(F.count("*").alias("q"), *(F.min(c).alias(c) for c in ("reach", "size_c", "reach_c", "size_s")))
+    more = (100 + percent) * F.col("q") / percent + 1e-6
+    share = share.filter((F.col("size_c") <= F.col("reach") + more) & (F.col("size_s") <= F.col("reach_c") + more)).select("s", "c")
+    least = F.ceil(F.col("size_s") * percent / 100)
+    classes = F.sequence(_size_class(least), F.greatest(_size_class(F.col("reach")), _size_class(least)))
+    sized = ask.filter(F.col("reach") + 1e-6 >= least).withColumn("least", least).select("s", "cs", "pivot", "least", "size_s", (F.col("reach") + 1e-6).alias("reach"), F.explode(classes).alias("k"))
+    small = other.withColumn("k", _size_class(F.col("size_c"))).select("c", "cc", "pivot", "size_c", (F.col("reach_c") + 1e-6).alias("reach_c"), "k")
+    short = sized.join(small, ["pivot", "k"]).filter("cs <> cc and size_c between least and reach and size_s <= reach_c").select("s", "c")
+    return share.unionByName(short).select(F.least("s", "c").alias("u"), F.greatest("s", "c").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text", work: Workspace | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs; texts with at least percent of common n-grams are linked."""
     work = work or Workspace(docs.sparkSession, "neardup")
@@ -144,18 +235,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     reps = some.filter("doc_id is not null").join(equal, ["s1", "s2"], "left").filter("rep is null or rep = doc_id")
     band = reps.select("doc_id", F.explode("keys").alias("bucket"))
     draw = [F.min(F.struct(F.xxhash64(F.lit(k), "bucket", "doc_id"), "doc_id"))["doc_id"].alias(f"leader{k}") for k in range(ORDERS)]
-    shared = band.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), *draw).filter("low < high").drop("low", "high")
+    shared = band.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"), *draw).filter("low < high").drop("low", "high")
     members = work.save(band.join(shared, "bucket"), "members")
-    ids = work.save(members.select("doc_id").distinct(), "ids")
-    small = ids.count() <= BROADCAST_KEYS
-    near = F.broadcast(ids) if small else ids
+    ids = work.save(members.groupBy("doc_id").agg(F.sum("n").alias("weight")), "ids")
+    n_ids = ids.count()
+    near = F.broadcast(ids.select("doc_id")) if n_ids <= BROADCAST_KEYS else ids.select("doc_id")
+    tasks = MEMBER_TASKS + n_ids // TASK_MEMBERS
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     texts = work.save(plain.join(near, "doc_id", "left_semi").dropDuplicates(["doc_id"]) if _repeats(every) else plain.join(near, "doc_id", "left_semi"), "texts")
     sigs = reps.join(near, "doc_id", "left_semi").select("doc_id", "sig")
 
     def verify(pairs: DataFrame, label: str) -> DataFrame:
-        likely = work.save(_likely(pairs, sigs, percent / 100, bands * rows), f"{label}-likely")
-        return work.save(_verified(likely, texts, n, percent), f"{label}-links")
+        likely = work.save(_likely(pairs, sigs, percent / 100, bands * rows, tasks), f"{label}-likely")
+        return work.save(_verified(likely, texts, n, percent, tasks), f"{label}-links")
 
     met = members.select("doc_id", F.explode(F.array_distinct(F.array(*(f"leader{k}" for k in range(ORDERS))))).alias("leader")).filter("doc_id <> leader")
     met = met.groupBy("doc_id", "leader").agg(F.count("*").alias("times"))
@@ -164,16 +256,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     links = verify(first, "first")
     found = components(links, work, "first-components")
 
-    # What one bucket still holds of different components.
-    named = members.select("bucket", "doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    named = work.save(named, "named")
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    mixed = work.save(named.join(mixed, "bucket", "left_semi"), "mixed")
-    largest = mixed.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "component"))["component"].alias("largest"))
-    ask = mixed.join(largest, "bucket").filter("component <> largest").select("bucket", F.col("doc_id").alias("u"), F.col("component").alias("cu"), "largest")
-    other = mixed.select("bucket", F.col("doc_id").alias("v"), F.col("component").alias("cv"))
-    second = ask.join(other, "bucket").filter("cu <> cv and (cv = largest or u < v)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    links = links.unionByName(verify(second, "second"))
+    # Components grow together until nothing is linked; what is still divided is compared.
+    for k in range(GROWTHS + 1):
+        divided = _divided(members, found, ids, work, f"divided-{k}", tasks)
+        against, related = _common(divided, texts, n, work, f"growth-{k}", tasks)
+        if k == GROWTHS:
+            break
+        linked = 100 * F.col("common") >= percent * (F.col("size_u") + F.col("size_v") - F.col("common"))
+        near = against.filter((F.col("u") != F.col("v")) & linked).select("u", "v")
+        links = links.unionByName(near).unionByName(verify(_nearest(divided, related), f"growth-{k}"))
+        before, found = found, components(links, work, f"growth-components-{k}")
+        if before.count() == found.count() and not before.join(found, ["node", "component"], "left_anti").limit(1).count():
+            break
+    pairs = work.save(_rest(divided, related, percent), "second-pairs")
+    links = links.unionByName(work.save(_verified(pairs, texts, n, percent, tasks), "second-links"))
     found = components(links, work, "components")
 
     owned = every.select("doc_id", "n_shingles", "s1", "s2").join(equal, ["s1", "s2"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))

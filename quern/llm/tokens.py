@@ -24,9 +24,9 @@ import regex
 from quern.llm.words import scan
 
 #: Segments that a worker stores (about 200 bytes each), the longest of them, and how many are joined.
-STORE, LONGEST, JOINED = 250_000, 48, 1000
+STORE, LONGEST, JOINED = 600_000, 48, 1000
 #: Bytes of text that are best encoded at once.
-BLOCK = 1 << 20
+BLOCK = 4 << 20
 #: Segments whose normal form and pieces are certain; pieces as the word-level pre-tokenizer has them (a fixed value).
 _LATIN = re.compile(r"[!-~\xa1-\xac\xae-\u024f]+")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
