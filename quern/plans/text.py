@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -174,6 +176,40 @@ def contains_gold(spark, sf):
     return reduce(DataFrame.union, found).distinct()
 
 
+#: Queries that a task holds a shortlist of at once, and shortlisted pairs that are broadcast at most.
+BLOCK_QUERIES, BROADCAST_PAIRS = 1000, 500_000
+
+
+def nearest_lengths(files: DataFrame, queries: DataFrame, k: int, block: int = BLOCK_QUERIES) -> tuple[DataFrame, int]:
+    """(query_id, file_id, n_chars): for all queries the best k files of each task by rounded closeness in length, ties by file_id; and the count of queries.
+
+    Files are read once for each block of queries. A score is 1 / m for an integer m, so its 6 places are exact in integers.
+    """
+    ids, parts = [r[0] for r in queries.filter("query_id is not null").toLocalIterator()], []
+    for at in range(0, len(ids), block):
+        parts.append(files.mapInArrow(_nearest(ids[at : at + block], k), "query_id long, file_id string, n_chars long"))
+    return (reduce(DataFrame.union, parts) if parts else files.select(F.lit(0).cast("long").alias("query_id"), "file_id", "n_chars").limit(0)), len(ids)
+
+
+def _nearest(ids: list[int], k: int):
+    def run(batches):
+        held = {q: [] for q in ids}
+        for batch in batches:
+            rows = sorted(zip(batch.column("file_id").to_pylist(), batch.column("n_chars").to_pylist()), key=lambda r: (r[0] is not None, (r[0] or "").encode()))
+            n = np.array([0 if r[1] is None else r[1] for r in rows], np.int64)
+            known = np.array([r[1] is not None for r in rows], bool)
+            for q in ids:
+                m = 1 + np.abs(n - 1000 - 10 * q)
+                score = np.where(known, (2_000_000 + m) // (2 * m), -1)
+                best = [(-int(score[i]), rows[i][0] is not None, (rows[i][0] or "").encode(), rows[i]) for i in np.argsort(-score, kind="stable")[:k]]
+                held[q] = sorted(held[q] + best, key=lambda x: x[:3])[:k]
+        out = [(q, *x[3]) for q in ids for x in held[q]]
+        columns = zip(*out) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64()))], ["query_id", "file_id", "n_chars"])
+
+    return run
+
+
 JAC = "len(list_intersect(a.w, b.w)) / greatest(len(list_distinct(list_concat(a.w, b.w))), 1)"
 RERANK = f"""
 WITH b AS (SELECT item_id AS query_id, text, list_distinct({WORDS}) AS w FROM benchmark WHERE item_id < 8), d AS (SELECT doc_id, substr(text, 1, 6000) AS text, n_chars FROM documents WHERE doc_id % 5 = 0),
@@ -186,12 +222,13 @@ SELECT query_id, file_id, s2 AS score, row_number() OVER (PARTITION BY query_id
 
 @query(RERANK)
 def rerank_shortlist(spark, sf):
-    """A shortlist of 100 by closeness in length, reranked by shared words of the first 6000 characters."""
-    q = F.broadcast(V.table(spark, sf, "benchmark").filter("item_id < 8").select(F.col("item_id").alias("query_id"), F.col("text").alias("q_text")))
-    d = V.table(spark, sf, "documents").filter("doc_id % 5 = 0").select(F.col("doc_id").cast("string").alias("file_id"), "n_chars", T.truncated(F.col("text"), 6000).alias("d_text"))
-    first = d.select("file_id", "n_chars").join(q.select("query_id"), on=F.lit(True)).select("query_id", "file_id", (1.0 / (1 + F.abs(F.col("n_chars") - 1000 - 10 * F.col("query_id")))).alias("score"))
-    short = ranking.ranked(first, 100)
-    pairs = short.select("query_id", "file_id").join(q, "query_id").join(d.select("file_id", "d_text"), "file_id")
+    """For all items a shortlist of 100 of all documents by closeness in length, reranked by shared words of the first 6000 characters."""
+    q = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q_text"))
+    d = V.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file_id"), "n_chars", T.truncated(F.col("text"), 6000).alias("d_text"))
+    near, n = nearest_lengths(d.select("file_id", "n_chars"), q.select("query_id").distinct(), 100)
+    short = ranking.ranked(near.select("query_id", "file_id", (1.0 / (1 + F.abs(F.col("n_chars") - 1000 - 10 * F.col("query_id")))).alias("score")), 100)
+    ids = short.select("query_id", "file_id")
+    pairs = d.select("file_id", "d_text").join(F.broadcast(ids) if n * 100 <= BROADCAST_PAIRS else ids, "file_id").join(q, "query_id")
     return ranking.reranked(short, pairs.select("query_id", "file_id", plugins.jaccard(F.col("q_text"), F.col("d_text")).alias("score")))
 
 

@@ -1,7 +1,11 @@
 """Queries over all rows of their tables, held against SQL or brute force without id filters."""
 
+from decimal import ROUND_HALF_UP, Decimal
+
 import duckdb
+from pyspark.sql import functions as F
 
+from quern.operators import ranking
 from quern.plans import text
 from quern.plans.catalogue import QUERIES
 
@@ -22,3 +26,37 @@ def test_item_blocks_hold_all_items_once(spark):
     items = spark.createDataFrame([(i, "x" * (i % 7)) for i in range(50)] + [(50, None)], "item_id long, t string")
     blocks = text.item_blocks(items, "t", 40)
     assert len(blocks) == 4 and sorted(r[0] for b in blocks for r in b.collect()) == list(range(51))
+
+
+def six(x: float) -> float:
+    return float(Decimal(repr(x)).quantize(Decimal("1e-6"), ROUND_HALF_UP))
+
+
+def words(t: str) -> set[str]:
+    return {w for w in t.split(" ") if w}
+
+
+def test_rerank_shortlist_ranks_all_documents_for_all_items(spark):
+    items = duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()
+    docs = [(str(i), n, words(t[:6000])) for i, n, t in duckdb.sql(f"SELECT doc_id, n_chars, text FROM '{SF}/documents.parquet'").fetchall()]
+    want = []
+    for q, t in items:
+        short = sorted(docs, key=lambda d: (-six(1.0 / (1 + abs(d[1] - 1000 - 10 * q))), d[0]))[:100]  # noqa: B023
+        new = [(-six(len(words(t) & w) / max(len(words(t) | w), 1)), rk, f) for rk, (f, _, w) in enumerate(short)]
+        want += [(q, f, -s, rk) for rk, (s, _, f) in enumerate(sorted(new)[:20], 1)]
+    got = found(QUERIES["rerank_shortlist"](spark, SF).select("query_id", "file_id", "score", "rk"))
+    assert len(items) > 8 and any(int(f) % 5 for _, f, _, _ in want)
+    assert [(q, f, round(s, 6), rk) for q, f, s, rk in got] == sorted((q, f, s + 0.0, rk) for q, f, s, rk in want)
+
+
+def test_nearest_lengths_keeps_what_a_ranking_needs(spark):
+    """Ties after rounding at great distance, a null length, exact halves, and more queries than one block."""
+    rows = [(str(i), n) for i, n in enumerate([None, 1127, 1639, 900_000, 900_100, 900_200, 500_000, 1000, 1001, 1000])]
+    files = spark.createDataFrame(rows, "file_id string, n_chars long").repartition(3)
+    queries = spark.createDataFrame([(q,) for q in (0, 1, 7)], "query_id long")
+    score = (1.0 / (1 + F.abs(F.col("n_chars") - 1000 - 10 * F.col("query_id")))).alias("score")
+    for k in (1, 2, 5, 9, 10):
+        near, n = text.nearest_lengths(files, queries, k, block=2)
+        got = ranking.ranked(near.select("query_id", "file_id", score), k)
+        want = ranking.ranked(files.crossJoin(queries).select("query_id", "file_id", score), k)
+        assert n == 3 and found(got.select("query_id", "rk", "file_id")) == found(want.select("query_id", "rk", "file_id"))
