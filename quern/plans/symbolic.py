@@ -77,7 +77,7 @@ SEED = "sd AS (SELECT DISTINCT l_orderkey AS query_id, CAST(l_partkey AS VARCHAR
 
 
 def _seed(spark, sf) -> DataFrame:
-    return V.table(spark, sf, "lineitem").filter("l_orderkey % 200 = 0 and l_linenumber = 1").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").cast("string").alias("file")).distinct()
+    return V.table(spark, sf, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").cast("string").alias("file")).distinct()
 
 
 @query(sql(EDGES, SEED, "h1 AS (SELECT query_id, file FROM sd UNION SELECT query_id, dst FROM sd JOIN edges ON src = file)", out="SELECT h1.query_id, h1.file, CAST(CASE WHEN sd.file IS NULL THEN 1 ELSE 0 END AS INT) AS depth FROM h1 LEFT JOIN sd ON sd.query_id = h1.query_id AND sd.file = h1.file"))
@@ -92,8 +92,7 @@ def expand_khop(spark, sf):
 
 @query(sql(*BASE, POOL(5, 200), out="SELECT m.query_id, mode, primary_count, extended_count, (SELECT count(*) FROM mem WHERE mem.query_id = m.query_id) AS pool_size FROM mode m"))
 def candidate_pool(spark, sf):
-    modes, members = _pool(spark, sf)
-    return modes.join(members.groupBy("query_id").agg(F.count("*").alias("pool_size")), "query_id")
+    return S.pool_sizes(_pool(spark, sf)[0], V.defs(spark, sf).select("file"))
 
 
 @query(sql(*BASE, POOL(150, 200), out="SELECT mode, count(*) AS n FROM mode GROUP BY mode"))
@@ -147,8 +146,8 @@ def sample_categories(spark, sf):
 
 @query(sql(*BASE, POOL(5, 200), "sz AS (SELECT query_id, count(*) AS n FROM mem GROUP BY 1)", out="SELECT count(*) AS n, round(avg(n), 6) AS mean, min(n) AS low, max(n) AS high, CAST(floor(median(n)) AS BIGINT) AS median, count(*) FILTER (WHERE n = 0) AS zeros FROM sz"))
 def pool_size_stats(spark, sf):
-    n = _pool(spark, sf)[1].groupBy("query_id").agg(F.count("*").alias("n"))
-    return diagnostics.count_stats(n, "n")
+    sizes = S.pool_sizes(_pool(spark, sf)[0], V.defs(spark, sf).select("file"))
+    return diagnostics.count_stats(sizes.filter("pool_size > 0").select(F.col("pool_size").alias("n")), "n")
 
 
 @query("SELECT CAST(l_partkey AS VARCHAR) AS file FROM lineitem WHERE l_linenumber = 1 UNION SELECT CAST(l_partkey AS VARCHAR) FROM lineitem WHERE l_linenumber = 2")

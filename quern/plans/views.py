@@ -58,14 +58,15 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, ["l_orderkey", "l_linenumber"]).filter("src <> dst").select("src", "dst").distinct()
 
 
-def order_names(spark: SparkSession, sf: str, lines: str, every: int = 20) -> DataFrame:
-    """(query_id, name) of some lines of every n-th order, the stand-in queries, plus an unknown name for some."""
-    li = table(spark, sf, "lineitem").filter(f"l_orderkey % {every} = 0 and {lines}")
+def order_names(spark: SparkSession, sf: str, lines: str) -> DataFrame:
+    """(query_id, name) of some lines of all orders, the stand-in queries."""
+    li = table(spark, sf, "lineitem").filter(lines)
     part = table(spark, sf, "part").select("p_partkey", F.concat("p_brand", F.lit("/"), "p_type").alias("name"))
     return li.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("query_id"), "name").distinct()
 
 
 def idents(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of all orders; some have an unknown name besides, and queries of an unknown name alone are added."""
     known = order_names(spark, sf, "l_linenumber <= 2")
     some = table(spark, sf, "orders").filter("o_orderkey % 100 = 0").select((-F.col("o_orderkey")).alias("query_id"), F.lit("no/such name").alias("name"))
     mixed = known.filter("query_id % 40 = 0").select("query_id", F.lit("other/unknown").alias("name")).distinct()

@@ -3,11 +3,12 @@
 from decimal import ROUND_HALF_UP, Decimal
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import ranking
+from quern.operators import ranking, symbols
 from quern.plans import text
-from quern.plans.catalogue import QUERIES
+from quern.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +61,31 @@ def test_nearest_lengths_keeps_what_a_ranking_needs(spark):
         got = ranking.ranked(near.select("query_id", "file_id", score), k)
         want = ranking.ranked(files.crossJoin(queries).select("query_id", "file_id", score), k)
         assert n == 3 and found(got.select("query_id", "rk", "file_id")) == found(want.select("query_id", "rk", "file_id"))
+
+
+@pytest.fixture(scope="module")
+def db():
+    c = duckdb.connect()
+    for t in ("part", "orders", "lineitem"):
+        c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", "identifier_lookup matched_unmatched candidate_pool pool_modes_large_minimum pool_members zero_candidate_rate fallback_conversion sample_categories pool_size_stats expand_1hop expand_khop".split())
+def test_symbolic_queries_take_all_orders(spark, db, name):
+    whole = ORACLES[name].replace("l_orderkey % 20 = 0 AND ", "").replace("l_orderkey % 200 = 0 AND ", "")
+    assert whole != ORACLES[name] and "l_orderkey %" not in whole
+    got = QUERIES[name](spark, SF)
+    cols = ", ".join(sorted(got.columns))
+    assert found(got.select(*sorted(got.columns))) == sorted(db.sql(f"SELECT {cols} FROM ({whole})").fetchall())
+
+
+def test_pool_unites_narrow_names_and_skips_wide_ones(spark):
+    """Bounds 2 and 4: a wide name, two narrow ones whose union is beyond, one that stays, one too small, none."""
+    idents = spark.createDataFrame([(1, "w"), (1, "a"), (2, "a"), (2, "b"), (3, "a"), (4, "c"), (5, "none")], "query_id long, name string")
+    defs = spark.createDataFrame([("w", f"w{i}") for i in range(5)] + [("a", "a1"), ("a", "a2"), ("b", "b1"), ("b", "a1"), ("c", "c1")], "name string, file string")
+    edges = spark.createDataFrame([("a1", "x"), ("a2", "x"), ("b1", "y")], "src string, dst string")
+    modes, members = symbols.candidate_pool(idents, idents, defs, edges, defs.select("file"), 2, 4)
+    assert found(modes) == [(1, "primary", 7, 0), (2, "primary", 3, 0), (3, "extended", 2, 1), (4, "fallback_full", 1, 0), (5, "fallback_full", 0, 0)]
+    sizes = found(members.groupBy("query_id").count())
+    assert sizes == [(1, 7), (2, 3), (3, 3), (4, 9), (5, 9)] == found(symbols.pool_sizes(modes, defs.select("file")).select("query_id", "pool_size"))
