@@ -99,7 +99,7 @@ def request_batches(spark, sf):
 @query("SELECT doc_id, md5('# File: ' || source || chr(10) || chr(10) || substr(text, 1, 6000)) AS h FROM documents WHERE regexp_matches(text, '\\S')")
 def chunk_headers(spark, sf):
     docs = V.table(spark, sf, "documents").filter(T.not_blank(F.col("text")))
-    return docs.select("doc_id", F.md5(T.with_header(F.col("source"), T.truncated(F.col("text"), 6000))).alias("h"))
+    return docs.select("doc_id", F.md5(T.with_header(F.col("source"), F.col("text"))).alias("h"))
 
 
 #: Non-ASCII letters are folded, as engines differ in what a word boundary is beside them.

@@ -1,5 +1,6 @@
 """Queries over all rows of their tables, held against SQL or brute force without id filters."""
 
+import hashlib
 from decimal import ROUND_HALF_UP, Decimal
 
 import duckdb
@@ -89,3 +90,10 @@ def test_pool_unites_narrow_names_and_skips_wide_ones(spark):
     assert found(modes) == [(1, "primary", 7, 0), (2, "primary", 3, 0), (3, "extended", 2, 1), (4, "fallback_full", 1, 0), (5, "fallback_full", 0, 0)]
     sizes = found(members.groupBy("query_id").count())
     assert sizes == [(1, 7), (2, 3), (3, 3), (4, 9), (5, 9)] == found(symbols.pool_sizes(modes, defs.select("file")).select("query_id", "pool_size"))
+
+
+def test_chunk_headers_keep_whole_texts(spark):
+    docs = duckdb.sql(f"SELECT doc_id, source, text FROM '{SF}/documents.parquet' WHERE regexp_matches(text, '\\S')").fetchall()
+    assert any(len(t) > 6000 for _, _, t in docs)
+    want = [(i, hashlib.md5(f"# File: {s}\n\n{t}".encode()).hexdigest()) for i, s, t in docs]
+    assert found(QUERIES["chunk_headers"](spark, SF).select("doc_id", "h")) == sorted(want)
