@@ -5,8 +5,12 @@ segments, white space and the word after it, one after the other. Segments are o
 are dictionary-encoded by Arrow, and only distinct ones reach Python. A worker encodes a segment with the tokenizers
 library when it first meets it and looks it up from then on. New segments are encoded together and told apart by the
 vocabulary: a byte-level token begins with the blank, a word-end token closes a piece. Segments for which that isn't
-certain, and all if a count doesn't come out, are encoded one by one. A text with white space beyond ASCII is one
-segment. Long segments are not stored; the store is emptied when it is full.
+certain, and all if a count doesn't come out, are encoded one by one. A text with white space beyond ASCII, or with the
+string of a token that the vocabulary adds to its pieces (as ``<|endoftext|>``), is one segment. Long segments are not
+stored; the store is emptied when it is full.
+
+ids are those of the library's ``encode(text, add_special_tokens=False)``, which knows added tokens in a text. With
+``literal_specials`` such a string is encoded as any other text.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from quern.llm.words import scan
@@ -62,12 +67,13 @@ class _Numbers(dict):
 class WordStore:
     """ids of whole texts; blank_leads: does a word carry the blank before it (byte-level) or is it dropped?"""
 
-    def __init__(self, path: str, blank_leads: bool):
+    def __init__(self, path: str, blank_leads: bool, literal_specials: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal_specials
+        self.added = [] if literal_specials else sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.blank_leads = blank_leads
         self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)  # of tokens that begin, or end, a segment's piece
         for token, i in self.tokenizer.get_vocab().items():
@@ -85,9 +91,11 @@ class WordStore:
         off = w.offsets
         ends = w.end
         odd = _odd_spaces(w.data)
+        whole = self._with_added(text)
         if len(odd):
-            rows = np.unique(np.searchsorted(off, odd, "right") - 1)
-            ends = ends[~np.isin(w.row, rows)]
+            whole[np.searchsorted(off, odd, "right") - 1] = True
+        if whole.any():
+            ends = ends[~whole[w.row]]
         cut = np.zeros(len(w.data) + 1, bool)
         cut[ends] = cut[off] = True
         cuts = np.flatnonzero(cut)
@@ -96,6 +104,13 @@ class WordStore:
         segments = make.from_buffers(len(cuts) - 1, pa.array(cuts, kind).buffers()[1], pa.py_buffer(np.ascontiguousarray(w.data)))
         return segments, np.diff(np.searchsorted(cuts, off))
 
+    def _with_added(self, text: pa.Array) -> np.ndarray:
+        """Texts that hold an added token; upper and lower case count alike, as a text's normal form may be lower case."""
+        out = np.zeros(len(text), bool)
+        for token in self.added:
+            out |= pc.fill_null(pc.match_substring(text, token, ignore_case=True), False).to_numpy(zero_copy_only=False)
+        return out
+
     def _pieces(self, key: str) -> int:
         """How many edges a segment's ids have when it is joined with others; 0 if that isn't certain."""
         if len(key) < 2 or key[0] != " " or key[1].isspace():
@@ -173,9 +188,9 @@ class WordStore:
 
 
 @lru_cache(4)
-def store(path: str, blank_leads: bool) -> WordStore:
+def store(path: str, blank_leads: bool, literal_specials: bool = False) -> WordStore:
     """One for each tokenizer in a worker process, kept between tasks."""
-    return WordStore(path, blank_leads)
+    return WordStore(path, blank_leads, literal_specials)
 
 
 def vocabulary(name: str) -> str:

@@ -16,7 +16,6 @@ SF = "/root/testdata/sf0.001"
 
 def plain(name):
     t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -38,6 +37,18 @@ def test_word_store_equals_whole_texts(corpus):
                 assert ids[a:b].tolist() == one(t), repr(t)
 
 
+def test_added_tokens_are_known_in_texts():
+    texts = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "<|ENDOFTEXT|> y", "x<|endoftext|>", " <|endoftext|> <|endoftext|>\n", "<|endoftext", None, "plain text"]
+    for name, blank in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        t, s = Tokenizer.from_file(vocabulary(name)), WordStore(vocabulary(name), blank)
+        texts += [f"u {x.content}v {x.content} w" for x in t.get_added_tokens_decoder().values()]
+        ids, sizes = s.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert WordStore(vocabulary("byte_bpe_50k.json"), True).encode(pa.array(["a <|endoftext|> b"]))[0].tolist() == [64, 220, 50256, 275]
+    literal = WordStore(vocabulary("byte_bpe_50k.json"), True, literal_specials=True).encode(pa.array(["a <|endoftext|> b"]))[0].tolist()
+    assert 50256 not in literal and len(literal) > 4
+
+
 def check_packing(rows, docs, one, capacity=1024):
     pieces, sequences = {}, {}
     for r in rows:
