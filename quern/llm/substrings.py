@@ -8,10 +8,15 @@ equal fingerprints, and neighbouring windows mostly share theirs, so the index h
 entry per word. A batch becomes a sorted immutable run of (fingerprint, times); runs are bucketed and sorted by
 fingerprint, so a new batch is merge-joined with history without a shuffle, and runs are compacted into one.
 
-Candidates are verified: documents with repeated fingerprints are read again, the 64-bit hash of each of their windows
-with such a fingerprint is counted together with the fingerprint, and only windows that occur twice count.
+Candidates are verified: documents with repeated fingerprints are read again, and the 128-bit BLAKE2b digest of the bytes
+of each of their windows with such a fingerprint is counted; only windows that occur twice count. The digest shares
+nothing with the word hashes that fingerprints are made of.
 
-Documents with equal word sequences are one entry of the index; of two or more of them, every word of a window goes.
+Documents with equal word sequences (SHA-256 of their words) are one entry of the index; of two or more of them, every
+word of a window goes. They and documents shorter than a window take no part in later joins.
+
+An index can be kept: a later call takes it with the documents that it holds as ``history``, which are only read, and its
+batches are merge-joined with the runs of all calls before, then compacted into one.
 
 Defined results: null and wordless texts have no words. Texts of fewer words than a window stay whole. Rows that repeat
 an id and a text are copies of each other. Extra columns are not used.
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import BROADCAST_KEYS, Workspace
-from quern.llm.words import U64, Words, blocks, mix, scan
+from quern.llm.words import U64, Words, blocks, scan
 
 #: Words of a window and of the grams whose least hash is its fingerprint; batches of the query.
 WINDOW, GRAM, BATCHES = 35, 8, 2
@@ -108,14 +113,17 @@ def fingerprints(w: Words, h: np.ndarray, window: int, gram: int) -> tuple[np.nd
     return first, best[first], at[first]
 
 
-def _sequences(w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each row's word sequence."""
-    out, pos = [], np.arange(len(h)) - w.first[w.row] if len(h) else np.empty(0, np.int64)
-    size = np.diff(w.first).astype(U64)
-    for salt in (U64(0x51ED270B27B4F3CF), U64(0xB492B66FBE98F273)):
-        total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(h ^ mix(pos.astype(U64) * salt + salt)))])
-        out.append(mix(total[w.first[1:]] - total[w.first[:-1]] + size * salt).view(np.int64))
-    return out[0], out[1]
+def _digests(w: Words) -> np.ndarray:
+    """SHA-256 of each row's words, joined by one space, as 32 bytes."""
+    data, begin, stop = w.joined()
+    spans = [data[begin[a] : stop[b - 1]] if b > a else b"" for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist())]
+    return np.frombuffer(b"".join(hashlib.sha256(x).digest() for x in spans), np.uint8).reshape(-1, 32)
+
+
+def _sequences(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 128 bits of each digest."""
+    halves = np.ascontiguousarray(digests[:, :16]).view("<i8")
+    return halves[:, 0], halves[:, 1]
 
 
 def _profile(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -125,8 +133,7 @@ def _profile(docs: DataFrame, window: int, gram: int) -> DataFrame:
         kind = pa.list_(pa.int64())
         for batch in blocks(batches):
             w = scan(batch.column("text"))
-            h = w.hashes()
-            first, fp, at = fingerprints(w, h, window, gram)
+            first, fp, at = fingerprints(w, w.hashes(), window, gram)
             row = w.row[first]
             new = np.ones(len(fp), bool)
             new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
@@ -137,10 +144,10 @@ def _profile(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 values, times = np.unique(fp[x:y], return_counts=True)
                 once.append(values)
                 again.append(values[times > 1])
-            a, b = _sequences(w, h)
-            shas = [hashlib.sha256(b" ".join((t or "").encode().split())).digest() for t in batch.column("text").to_pylist()]
+            shas = _digests(w)
+            a, b = _sequences(shas)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(a), pa.array(b), pa.array(np.diff(w.first)), pa.array(shas, pa.binary()), pa.array(once, kind), pa.array(again, kind)],
+                [batch.column("doc_id"), pa.array(a), pa.array(b), pa.array(np.diff(w.first)), pa.array([x.tobytes() for x in shas], pa.binary()), pa.array(once, kind), pa.array(again, kind)],
                 ["doc_id", "a", "b", "n_words", "whole_sha256", "fps", "again"],
             )
 
@@ -148,24 +155,25 @@ def _profile(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _windows(candidates: DataFrame, window: int, gram: int) -> DataFrame:
-    """(fp, w, a, b, word): every window of the candidates (a, b, text, fps) with one of their fps, w its hash."""
+    """(w1, w2, a, b, word): every window of the candidates (a, b, text, fps) with one of their fps and 128 bits of its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             w = scan(batch.column("text"))
-            h = w.hashes()
-            first, fp, _ = fingerprints(w, h, window, gram)
+            first, fp, _ = fingerprints(w, w.hashes(), window, gram)
             keep = np.zeros(len(first), bool)
             row, cuts = w.row[first], np.searchsorted(w.row[first], np.arange(batch.num_rows + 1))
             for r, wanted in enumerate(batch.column("fps")):
                 x, y = cuts[r], cuts[r + 1]
                 keep[x:y] = np.isin(fp[x:y].view(np.int64), wanted.values.to_numpy(zero_copy_only=False))
-            first, fp, row = first[keep], fp[keep], row[keep]
-            whole, _ = w.grams(h, window)
+            first, row = first[keep], row[keep]
+            data, begin, stop = w.joined()
+            data, digest = memoryview(data), hashlib.blake2b
+            whole = np.frombuffer(b"".join([digest(data[x:y], digest_size=16).digest() for x, y in zip(begin[first].tolist(), stop[first + window - 1].tolist())]), "<i8").reshape(-1, 2)
             a, b = (batch.column(c).to_numpy()[row] for c in ("a", "b"))
-            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(whole[first].view(np.int64)), pa.array(a), pa.array(b), pa.array((first - w.first[row]).astype(np.int32))], ["fp", "w", "a", "b", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(a), pa.array(b), pa.array((first - w.first[row]).astype(np.int32))], ["w1", "w2", "a", "b", "word"])
 
-    return candidates.select("a", "b", "text", "fps").mapInArrow(run, "fp long, w long, a long, b long, word int")
+    return candidates.select("a", "b", "text", "fps").mapInArrow(run, "w1 long, w2 long, a long, b long, word int")
 
 
 def _cut(candidates: DataFrame, window: int) -> DataFrame:
@@ -187,52 +195,72 @@ def _cut(candidates: DataFrame, window: int) -> DataFrame:
     return candidates.select("a", "b", "text", "starts").mapInArrow(run, "a long, b long, n_removed long, kept_text string")
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, key: str = "doc_id", text: str = "text", work: Workspace | None = None) -> tuple[DataFrame, DataFrame]:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, key: str = "doc_id", text: str = "text", work: Workspace | None = None, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, changed).
 
-    documents: (doc_id, a, b, n_words, n_removed, whole_sha256 of all words), a row for each of docs; changed: (a, b,
-    n_removed, kept_text) of each word sequence that loses some of its words. a and b are the sequence's hashes.
+    documents: (doc_id, a, b, n_words, n_removed, kept_sha256 of the words that stay), a row for each of docs; changed:
+    (a, b, n_removed, kept_text) of each word sequence that loses words but isn't a copy. a and b are 128 bits of it.
+    index: the runs of earlier calls, whose documents are history; it takes docs in and stays open.
     """
     work = work or Workspace(docs.sparkSession, "substrings")
-    plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    every = work.save(_profile(plain, window, gram), "profile")
-    copies = every.filter(F.col("n_words") >= window).groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1")
-    copies = work.save(copies.select("a", "b", "rep"), "copies")
+    plain = lambda d: d.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    every = work.save(_profile(plain(docs), window, gram), "profile")
+    long = every.filter(F.col("n_words") >= window)
+    copies = long.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1")
+    copies = work.save(copies.select("a", "b", "rep", F.lit(True).alias("copied")), "copies")
     copies = F.broadcast(copies) if copies.count() <= BROADCAST_KEYS // 2 else copies
-    marked = every.join(copies.withColumn("copied", F.lit(True)), ["a", "b"], "left")
-    alone = marked.filter((F.size("fps") > 0) & (F.col("copied").isNull() | F.col("doc_id").eqNullSafe(F.col("rep")))).select("doc_id", "a", "b", "fps", "again")
+    marked = long.join(copies, ["a", "b"], "left")
+    once = marked.filter(F.col("copied").isNull() | F.col("doc_id").eqNullSafe(F.col("rep"))).select("doc_id", "a", "b", "fps", "again")
 
-    index = FingerprintIndex(work)
+    # Each batch is merge-joined with the runs before it; what any of them repeats is looked at again.
+    own = index is None
+    index = index or FingerprintIndex(work)
+    hits = None
     for k in range(batches):
-        batch = alone.filter(F.pmod("a", F.lit(batches)) == k)
-        index.ingest(batch.select(F.explode("fps").alias("fp"), F.lit(1).alias("times")).unionByName(batch.select(F.explode("again").alias("fp"), F.lit(1).alias("times"))))
-    index.compact()
-    entries = alone.select("doc_id", "a", "b", F.explode("fps").alias("fp"))
-    wanted = entries.join(index.repeated(), "fp", "left_semi").groupBy("doc_id", "a", "b").agg(F.collect_list("fp").alias("fps"))
-    wanted = work.save(wanted, "wanted")
-    index.close()
-
-    # The texts of candidates; a text with another sequence under the same id is no candidate.
+        batch = once.filter(F.pmod("a", F.lit(batches)) == k)
+        found = work.save(index.ingest(batch.select(F.explode("fps").alias("fp"), F.lit(1).alias("times")).unionByName(batch.select(F.explode("again").alias("fp"), F.lit(1).alias("times")))), f"hits-{k}")
+        hits = found if hits is None else hits.unionByName(found)
+    hits = hits.distinct() if batches > 1 else hits
+    texts = _candidates(plain(docs), once, hits, work, "texts")
+    windows = _windows(texts, window, gram)
+    if history is not None:
+        old = plain(history)
+        windows = windows.unionByName(_windows(_candidates(old, work.save(_profile(old, window, gram), "history"), hits, work, "old-texts"), window, gram))
+    twice = work.save(windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).filter("c > 1").select("w1", "w2"), "twice")
+    starts = windows.join(twice, ["w1", "w2"], "left_semi").groupBy("a", "b").agg(F.collect_set("word").alias("starts"))
+    changed = work.save(_cut(texts.dropDuplicates(["a", "b"]).join(starts, ["a", "b"]), window), "changed")
+    if own:
+        index.close()
+    else:
+        index.compact()
+
+    # Copies and short documents know their result; only sequences of their own are joined.
+    row = lambda df, n, sha: df.select("doc_id", "a", "b", "n_words", F.coalesce(n, F.lit(0)).cast("long").alias("n_removed"), sha.alias("kept_sha256"))
+    whole = F.lower(F.hex("whole_sha256"))
+    some = changed.select("a", "b", F.col("n_removed").alias("some"), F.sha2("kept_text", 256).alias("kept"))
+    parts = [
+        row(every.filter(F.col("n_words") < window), F.lit(0), whole),
+        row(marked.filter("copied"), F.col("n_words"), F.sha2(F.lit(""), 256)),
+        row(marked.filter("copied is null").join(some, ["a", "b"], "left"), F.col("some"), F.coalesce("kept", whole)),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]), changed
+
+
+def _candidates(plain: DataFrame, profile: DataFrame, hits: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """(a, b, text, fps) of documents with repeated fingerprints; a text with another sequence under the same id is none."""
+    entries = profile.select("doc_id", "a", "b", F.explode("fps").alias("fp"))
+    wanted = entries.join(hits, "fp", "left_semi").groupBy("doc_id", "a", "b").agg(F.collect_list("fp").alias("fps"))
+    wanted = work.save(wanted, f"{name}-wanted")
     n, size = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("fps")), F.lit(0))).first()
     small = n <= BROADCAST_KEYS // 4 and size <= 4 * BROADCAST_KEYS
     met = plain.withColumnRenamed("doc_id", "d").join(F.broadcast(wanted) if small else wanted, F.col("d").eqNullSafe(F.col("doc_id"))).drop("d")
-    texts = work.save(_same_sequence(met), "texts")
-
-    windows = _windows(texts, window, gram)
-    twice = work.save(windows.groupBy("fp", "w").agg(F.count("*").alias("c")).filter("c > 1").select("fp", "w"), "twice")
-    starts = windows.join(twice, ["fp", "w"], "left_semi").groupBy("a", "b").agg(F.collect_set("word").alias("starts"))
-    changed = work.save(_cut(texts.dropDuplicates(["a", "b"]).join(starts, ["a", "b"]), window), "changed")
-    removed = changed.select("a", "b", F.col("n_removed").alias("some"))
-    all_rows = marked.drop("fps", "again", "rep").join(removed, ["a", "b"], "left")
-    n_removed = F.when(F.col("copied"), F.col("n_words")).otherwise(F.coalesce("some", F.lit(0)))
-    return all_rows.select("doc_id", "a", "b", "n_words", n_removed.cast("long").alias("n_removed"), "whole_sha256"), changed
+    return work.save(_same_sequence(met), name)
 
 
 def _same_sequence(met: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            w = scan(batch.column("text"))
-            a, b = _sequences(w, w.hashes())
+            a, b = _sequences(_digests(scan(batch.column("text"))))
             yield batch.filter(pa.array((a == batch.column("a").to_numpy()) & (b == batch.column("b").to_numpy())))
 
     return met.select("a", "b", "text", "fps").mapInArrow(run, "a long, b long, text string, fps array<long>")
@@ -240,11 +268,8 @@ def _same_sequence(met: DataFrame) -> DataFrame:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows, changed = dedup_substrings(docs)
-    shas = changed.select("a", "b", F.sha2("kept_text", 256).alias("kept"))
-    rows = rows.join(shas, ["a", "b"], "left")
-    sha = F.when(F.col("n_removed") == 0, F.lower(F.hex("whole_sha256"))).when(F.col("n_removed") == F.col("n_words"), F.sha2(F.lit(""), 256)).otherwise(F.col("kept"))
-    return rows.select("doc_id", "n_words", "n_removed", sha.alias("kept_sha256"))
+    rows, _ = dedup_substrings(docs)
+    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 SQL = """

@@ -1,12 +1,14 @@
 """Words, word hashes and word n-gram hashes of whole Arrow batches in NumPy.
 
-A text column's UTF-8 buffer is scanned as one byte array: no Python object per word. Hashes are polynomials modulo
-2**64 from prefix sums, finished by a mixer. Equal words always have equal hashes; callers that need the converse
-verify the words themselves or use two hashes.
+A text column's UTF-8 buffer is scanned as one byte array: no Python object per short word. A word's hash folds eight
+bytes at a time through a bijective mixer, so that words of up to eight bytes and one length never collide; long words
+are digested by BLAKE2b. Hashes of word n-grams are polynomials of these modulo 2**64. Equal words always have equal
+hashes; callers that need the converse verify the words themselves or a digest of them (see digests).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -16,8 +18,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-#: Odd multipliers of the byte and the word polynomials.
-BYTE_BASE, GRAM_BASE = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
+#: Odd multiplier of the n-gram polynomials.
+GRAM_BASE = 0xD6E8FEB86659FD93 | 1
+#: Bytes from which a word is digested by itself.
+LONG_WORD = 64
 #: Bytes of text that are scanned at once; a longer document is scanned alone.
 BLOCK = 1 << 20
 
@@ -76,12 +80,38 @@ class Words:
     first: np.ndarray
     offsets: np.ndarray
 
-    def hashes(self, base: int = BYTE_BASE) -> np.ndarray:
-        n = len(self.data)
-        up, down = powers(base, n)
-        total = np.zeros(n + 1, U64)
-        np.cumsum((self.data + U64(1)) * up[:n], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(U64))
+    def hashes(self) -> np.ndarray:
+        """64 bits of each word."""
+        size = self.end - self.start
+        out = mix(size.astype(U64) + U64(0x9E3779B97F4A7C15))
+        at = np.ndarray((len(self.data) + 1,), "<u8", np.concatenate([self.data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+        left = np.flatnonzero(size <= LONG_WORD)
+        lane = 0
+        while len(left):
+            rest = size[left] - lane
+            cut = U64(8) * np.maximum(8 - rest, 0).astype(U64)
+            part = at[self.start[left] + lane] << cut
+            out[left] = mix(out[left] ^ part)
+            lane += 8
+            left = left[rest > 8]
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[self.start[i] : self.end[i]], digest_size=8).digest(), "little")
+        return out
+
+    def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """All words with one space after each, as bytes, and where in them each word begins and ends."""
+        size = self.end - self.start
+        stop = np.cumsum(size + 1) - 1
+        begin = stop - size
+        out = np.full(int(stop[-1]) + 1 if len(stop) else 0, 0x20, np.uint8)
+        edge = np.zeros(len(self.data) + 1, np.int8)
+        edge[self.start] = 1
+        edge[self.end] -= 1
+        inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+        blank = np.zeros(len(out), bool)
+        blank[stop] = True
+        out[~blank] = self.data[inside]
+        return out.tobytes(), begin, stop
 
     def grams(self, hashes: np.ndarray, k: int, base: int = GRAM_BASE) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the k words from each position on, and whether they are of one row."""

@@ -93,10 +93,15 @@ def brute_cut(docs, window):
     return [(d, len(words[i]), len(gone[i]), " ".join(x for k, x in enumerate(words[i]) if k not in gone[i])) for i, (d, _) in enumerate(docs)]
 
 
-def found_cut(docs_df, window, gram, batches=2):
-    rows, changed = substrings.dedup_substrings(docs_df, window, gram, batches)
+def found_cut(docs_df, window, gram, batches=2, **more):
+    rows, changed = substrings.dedup_substrings(docs_df, window, gram, batches, **more)
     kept = {(r["a"], r["b"]): r["kept_text"] for r in changed.collect()}
-    return [(r["doc_id"], r["n_words"], r["n_removed"], r["whole_sha256"].hex(), "" if r["n_removed"] == r["n_words"] else kept.get((r["a"], r["b"]))) for r in rows.collect()]
+    out = []
+    for r in rows.collect():
+        text = "" if r["n_removed"] == r["n_words"] else kept.get((r["a"], r["b"]))
+        assert not r["n_removed"] or r["kept_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        out.append((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"], text))
+    return out
 
 
 @pytest.mark.parametrize(("window", "gram", "batches"), [(6, 3, 1), (5, 1, 3), (8, 8, 2)])
@@ -117,10 +122,49 @@ def test_substrings_equal_brute_force(spark, window, gram, batches):
     assert sorted((d, n, g, None if g == 0 else k) for d, n, g, _, k in got) == sorted((d, n, g, None if g == 0 else k) for d, n, g, k in want)
 
 
+def thue_morse(n):
+    """Two words that every polynomial modulo 2**64 hashes alike from 1024 letters on."""
+    x = "a"
+    while len(x) < n:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_one_polynomial_hash_are_not_equal(spark):
+    one, two = thue_morse(1024)
+    rest = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest.replace('w39', 'v39').replace('w4 ', 'v4 ')}"), (3, one), (4, two)], "doc_id long, text string")
+    assert sorted(x[:3] for x in found_cut(docs, 35, 8)) == [(1, 41, 0), (2, 41, 0), (3, 1, 0), (4, 1, 0)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs.filter("doc_id > 2"), n=2).collect()}
+    assert got == {3: 3, 4: 4}
+
+
+def test_substrings_against_history(spark):
+    """Three calls with one index: each loses what earlier calls or itself repeat."""
+    rng = random.Random(8)
+    passage = [rng.choice("abcdefghij") for _ in range(12)]
+    docs = []
+    for d in range(60):
+        w = [rng.choice("abcdefghijklmnop") for _ in range(rng.randint(0, 25))]
+        if rng.random() < 0.4:
+            w[rng.randint(0, len(w)) : 0] = passage[rng.randint(0, 3) :]
+        docs.append((d, " ".join(w)))
+    docs[45] = (45, docs[2][1])
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    index = substrings.FingerprintIndex(Workspace(spark, "t"), 2)
+    for low, high in ((0, 20), (20, 40), (40, 60)):
+        past = table.filter(f"doc_id < {low}") if low else None
+        got = found_cut(table.filter(f"doc_id >= {low} and doc_id < {high}"), 8, 3, index=index, history=past)
+        want = [x[:3] for x in brute_cut(docs[:high], 8) if x[0] >= low]
+        assert sorted(x[:3] for x in got) == want and len(index.runs) == 1
+    index.close()
+
+
 def test_substring_edges(spark, corpus, nothing):
     got = sorted(((-1 if r[0] is None else r[0]), *r[1:4]) for r in found_cut(corpus, 6, 2))
     texts = [(r["doc_id"], r["text"]) for r in corpus.collect()]
-    want = sorted(((-1 if d is None else d), n, g, hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest()) for (d, n, g, _), (_, t) in zip(brute_ascii(texts, 6), texts))
+    whole = lambda t: hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest()
+    want = sorted(((-1 if d is None else d), n, g, whole(t) if not g else whole("")) for (d, n, g, _), (_, t) in zip(brute_ascii(texts, 6), texts))
     assert got == want
     rows, changed = substrings.dedup_substrings(nothing)
     assert rows.collect() == [] and changed.collect() == []
