@@ -16,9 +16,11 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests), a temporary one that is then set."""
+    """The folder in spark.checkpoint.dir; where that is unset and all runs on one machine (tests), a temporary one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -40,7 +42,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.path = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.spark, self.path, self.saved = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", []
         atexit.register(self._end)
 
     def _end(self) -> None:
@@ -52,11 +54,17 @@ class Workspace:
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """Write a table and read it again: cuts lineage, survives lost executors."""
         to = f"{self.path}/{name}"
+        self.saved.append(name)
         df.write.mode("overwrite").option("compression", codec).parquet(to)
         return self.spark.read.schema(df.schema).parquet(to)
 
     def drop(self, *names: str) -> None:
         remove(self.spark, *(f"{self.path}/{n}" for n in names))
+        self.saved = [n for n in self.saved if n not in names]
+
+    def clear(self, since: int, *keep: str) -> None:
+        """Drop what was saved after the first ``since`` tables, but for those to keep."""
+        self.drop(*(n for n in self.saved[since:] if n not in keep))
 
 
 def let(value: Column, body) -> Column:

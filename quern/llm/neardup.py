@@ -2,27 +2,33 @@
 
 1. Each whole text becomes the set of its distinct word n-gram hashes, ``bands * rows`` universal hash minima of it and a
    key for each band of them. Equal sets are one representative (least id) from here on.
-2. Documents with an equal band key share a bucket. A bucket is never paired off. In the first round its members meet
-   leaders, drawn by hash, one for each of a few orders; each document is verified against the few leaders with which it
-   shares most buckets. Components of the verified links follow.
-3. Then components grow together in rounds. In each bucket with several, all members are set against a pivot, the
-   document of its largest component whose buckets hold most documents. The pivot's shingles and those that several of its
-   documents share are a common set. Documents outside the largest component are verified against the pivot and against
-   the documents nearest to the common set, until nothing is linked any more.
-4. What is still divided: let m(s) be the shingles of s in the common set, the others rare, and s outside the largest
-   component. A document c with q of s's rare shingles has at most m(s) + q in common with s, so it can be linked with s
-   only if its size is at most ((100 + t) / t) * (m(s) + q) - size(s), and likewise with m(c). So s meets, of other components, those that share
-   a rare shingle, joined on shingles, and those so small, joined on size classes. No link between two documents of a
-   bucket is lost, and a group of thousands of copies isn't paired off.
-5. Verification first compares one-byte signatures, dropping only what is five standard errors below the threshold,
-   then the full shingle sets; the last round's pairs passed the bounds and go to the sets at once.
-6. Components are closed by alternating large-star and small-star.
-
-A pair at the threshold shares no band with probability (1 - 0.8**rows)**bands, 3e-8 with 5 rows and 44 bands.
+2. Documents with an equal band key share a bucket. A bucket is never paired off. First its members meet leaders, drawn by
+   hash, one for each of a few orders; each document is verified against the few leaders with which it shares most
+   buckets: one-byte signatures drop only what is five standard errors below the threshold, full shingle sets decide.
+   Components of the verified links follow.
+3. The members of buckets with several components form a group around a pivot, a document of the bucket's largest
+   component. From here on a document s of a group is D(s), the shingles in which its full set differs from the group's
+   reference set P. For any P, documents s and c differ in |D(s)| + |D(c)| - 2 |D(s) & D(c)| shingles, and 100 * common >=
+   t * union is the same as (100 + t) * differing <= (100 - t) * (|s| + |c|). With R(s) = (100 + t) |D(s)| - (100 - t) |s|
+   they are linked if and only if 2 (100 + t) |D(s) & D(c)| >= R(s) + R(c).
+4. P becomes the set of most members: shingles in which more than half of them differ from P change sides. Let c* have the
+   least R. All s with R(s) + R(c*) <= 0 are linked with c*. Two documents without a common difference are linked only
+   if both are of those, so what remains are pairs with a common difference, (R(s) + R(c*)) / (2 (100 + t)) at least.
+   As in prefix filtering, such a pair shares one of the rarest |D(s)| - that + 1 of s's differences (those that others
+   have too), and likewise of c's. Documents with a difference in common there form a group again, which
+   is kept only while it has several components. Groups of at most PAIRED members are compared pair by pair, on differences.
+   Larger ones get a reference set of their own, in which the common difference is no difference any more. So a template
+   filled in thousands of ways, or thousands of near copies, cost a row for each document and rare difference,
+   and no link between two documents of a bucket is lost.
+5. Components are closed by alternating large-star and small-star.
+
+A pair at the threshold shares no band with probability (1 - 0.8**rows)**bands, 3e-8 with 5 rows and 44 bands. Shingles
+are compared by 64 bits of hashes of their words; see words.
 
 Defined results: null and wordless texts have empty sets and are linked with nothing. A text of fewer words than n is
-one shingle. Rows that repeat an id and text are one document, both with its component. A null id has a component only
-if its set is that of a document with an id. Ties: the least id leads.
+one shingle. Rows that repeat an id and text are one document, both with its component. Rows that give an id several
+texts are one document in ``near_duplicates``, with the links of all of them, and documents of their own in ``keep_one``.
+Rows without an id take part; a component without any id is null. Ties: the least id leads. Ids are below 2**62.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import BROADCAST_KEYS, Workspace
@@ -42,9 +48,10 @@ from quern.llm.words import U64, Words, blocks, mix, scan
 BANDS, ROWS, ORDERS, TRIES = 44, 5, 2, 2
 #: Documents with a neighbour in a task, and tasks for few of them.
 TASK_MEMBERS, MEMBER_TASKS = 1000, 6
-#: Rounds in which components grow together, documents near a common set that others meet in them, and documents that
-#: must share a shingle for it to be in the common set.
-GROWTHS, NEAREST, COMMON = 3, 3, 16
+#: Members of a group that is compared pair by pair.
+PAIRED = 24
+#: Numbers from here on stand for rows without an id, or with one that has other texts too.
+UNNAMED = 1 << 62
 
 
 def shingle_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +88,7 @@ def minima(values: np.ndarray, begin: np.ndarray, n: int, seed: int = 7) -> np.n
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int, key: str, text: str) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2: 128 bits of the set, keys: of the bands, sig: a byte of each minimum)."""
+    """(doc_id, th: a hash of the text, n_shingles, s1, s2: 128 bits of the set, keys: of the bands, sig: a byte of each minimum)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
@@ -97,12 +104,15 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, key: str, text: s
             s1, s2 = (mix(t[begin[1:]] - t[begin[:-1]] + size.astype(U64)) for t in total)
             sig = np.ascontiguousarray((m & U64(255)).astype(np.uint8))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(many + 1) * bands, pa.int32()), pa.array(fold.ravel().view(np.int64))), pa.array([x.tobytes() for x in sig], pa.binary())],
-                ["doc_id", "n_shingles", "s1", "s2", "keys", "sig"],
+                [batch.column("doc_id"), batch.column("th"), pa.array(size), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(many + 1) * bands, pa.int32()), pa.array(fold.ravel().view(np.int64))), pa.array([x.tobytes() for x in sig], pa.binary())],
+                ["doc_id", "th", "n_shingles", "s1", "s2", "keys", "sig"],
             )
 
-    plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return plain.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>, sig binary")
+    return _plain(docs, key, text).mapInArrow(run, "doc_id long, th long, n_shingles long, s1 long, s2 long, keys array<long>, sig binary")
+
+
+def _plain(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
 
 
 def _likely(pairs: DataFrame, sigs: DataFrame, threshold: float, total: int, tasks: int) -> DataFrame:
@@ -141,98 +151,142 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, tasks: i
     return both.mapInArrow(run, "u long, v long")
 
 
-def _relations(pairs: DataFrame, texts: DataFrame, n: int, tasks: int) -> DataFrame:
-    """(u, v, size_u, size_v, common, own: shingles of u that v hasn't) of pairs (u, v)."""
+def _differences(pairs: DataFrame, texts: DataFrame, n: int, tasks: int) -> DataFrame:
+    """(u, v, size: of u's set, d: shingles that one of u and v has) of pairs (u, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
         for big in batches:
             for b in blocks(blocks([big], "tu"), "tv"):
                 values, begin = shingle_sets(scan(b.column("tu"), lower=True), n)
-                sizes, own = [], []
+                out = []
                 for i, (v, t) in enumerate(zip(b.column("v").to_pylist(), b.column("tv"))):
                     if last[0] != v:
                         last = (v, shingle_sets(scan(pa.array([t.as_py()]), lower=True), n)[0])
-                    x = values[begin[i] : begin[i + 1]]
-                    own.append(np.setdiff1d(x, last[1], assume_unique=True).view(np.int64))
-                    sizes.append((len(x), len(last[1]), len(x) - len(own[-1])))
-                cols = [pa.array(c, pa.int64()) for c in zip(*sizes)] if sizes else [pa.array([], pa.int64())] * 3
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, pa.array(own, pa.list_(pa.int64()))], ["u", "v", "size_u", "size_v", "common", "own"])
+                    out.append(np.setxor1d(values[begin[i] : begin[i + 1]], last[1], assume_unique=True).view(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(begin), pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["u", "v", "size", "d"])
 
     side = lambda c, s: texts.select(F.col("doc_id").alias(c), F.col("text").alias(s))
     both = pairs.join(side("u", "tu"), "u").coalesce(tasks).join(side("v", "tv"), "v").select("u", "v", "tu", "tv").coalesce(tasks)
-    return both.mapInArrow(run, "u long, v long, size_u long, size_v long, common long, own array<long>")
-
-
-def _size_class(size):
-    """Classes of about 5 percent."""
-    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.log(F.lit(1.05))).cast("int")
+    return both.mapInArrow(run, "u long, v long, size long, d array<long>")
 
 
-def _divided(members: DataFrame, found: DataFrame, ids: DataFrame, work: Workspace, label: str, tasks: int) -> DataFrame:
-    """(doc_id, component, largest, pivot) of all members of buckets that hold several components.
+def _groups(members: DataFrame, found: DataFrame, ids: DataFrame, work: Workspace, tasks: int) -> DataFrame:
+    """Pairs (u, v): documents of buckets that hold several components, and their pivots.
 
-    largest: the bucket's component with most members in it; pivot: the document of that with the greatest weight.
+    The pivot is the document with the greatest weight in the bucket's component with most members in it.
     """
     found = found.coalesce(tasks)
     named = members.select("bucket", "doc_id").coalesce(tasks).join(found, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")).coalesce(tasks)
-    held = work.save(named.groupBy("bucket", "component").agg(F.count("*").alias("c")).coalesce(tasks), f"{label}-held")
+    held = work.save(named.groupBy("bucket", "component").agg(F.count("*").alias("c")).coalesce(tasks), "held")
     largest = held.groupBy("bucket").agg(F.max(F.struct("c", "component"))["component"].alias("largest"), F.count("*").alias("n")).filter("n > 1").select("bucket", "largest").coalesce(tasks)
     pivots = ids.join(found, F.col("doc_id") == F.col("node"), "left").groupBy(F.coalesce("component", "doc_id").alias("largest")).agg(F.max(F.struct("weight", "doc_id"))["doc_id"].alias("pivot")).coalesce(tasks)
-    rows = named.join(largest, "bucket").select("doc_id", "component", "largest").coalesce(tasks).distinct().coalesce(tasks).join(pivots, "largest", "left").coalesce(tasks)
-    return work.save(rows.select("doc_id", "component", "largest", "pivot"), label)
-
-
-def _common(divided: DataFrame, texts: DataFrame, n: int, work: Workspace, label: str, tasks: int) -> tuple[DataFrame, DataFrame]:
-    """(relations with pivots, the same with in_common and rare: shingles of u in its pivot's common set, and others)."""
-    pairs = divided.select(F.col("doc_id").alias("u"), F.col("pivot").alias("v")).distinct().coalesce(tasks)
-    against = work.save(_relations(pairs, texts, n, tasks), f"{label}-relations")
-    own = against.select("u", "v", F.explode("own").alias("x"))
-    some = own.groupBy("v", "x").agg(F.count("*").alias("c")).filter(F.col("c") >= COMMON).coalesce(tasks)
-    shared = own.join(some, ["v", "x"], "left_semi").groupBy("u", "v").agg(F.collect_list("x").alias("shared")).coalesce(tasks)
-    both = against.join(shared, ["u", "v"], "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<long>")))
-    both = both.select("u", "v", "size_u", (F.col("common") + F.size("shared")).alias("in_common"), F.array_except("own", "shared").alias("rare"))
-    return against, work.save(both.coalesce(tasks), f"{label}-related")
-
-
-def _nearest(divided: DataFrame, related: DataFrame) -> DataFrame:
-    """Pairs (u, v): documents outside the largest component with the ones nearest to their pivot's common set."""
-    score = F.struct(F.col("size_u") - 2 * F.col("in_common"), "u")
-    best = related.groupBy("v", F.pmod(F.xxhash64("u"), F.lit(NEAREST)).alias("class")).agg(F.min(score)["u"].alias("near")).select(F.col("v").alias("pivot"), "near")
-    ask = divided.filter("component <> largest").select("doc_id", "pivot").join(best, "pivot").select(F.col("doc_id").alias("u"), F.col("near").alias("v"))
-    return ask.unionByName(best.select(F.col("near").alias("u"), F.col("pivot").alias("v"))).filter("u <> v").distinct()
-
-
-def _rest(divided: DataFrame, related: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of different components that a bucket may still link."""
-    rows = divided.join(related, (F.col("doc_id") == F.col("u")) & (F.col("pivot") == F.col("v"))).select("doc_id", "component", "largest", "pivot", "size_u", "in_common", "rare")
-    reach = (100 + percent) * F.col("in_common") / percent - F.col("size_u")
-    ask = rows.filter("component <> largest").select(F.col("doc_id").alias("s"), F.col("component").alias("cs"), "pivot", F.col("size_u").alias("size_s"), "rare", reach.alias("reach"))
-    other = rows.select(F.col("doc_id").alias("c"), F.col("component").alias("cc"), "pivot", F.col("size_u").alias("size_c"), F.col("rare").alias("rare_c"), reach.alias("reach_c"))
-    share = ask.select("s", "cs", "pivot", "size_s", "reach", F.explode("rare").alias("x")).join(other.select("c", "cc", "pivot", "size_c", "reach_c", F.explode("rare_c").alias("x")), ["pivot", "x"]).filter("cs <> cc")
-    share = share.groupBy("s", "c", "pivot").agg(F.count("*").alias("q"), *(F.min(c).alias(c) for c in ("reach", "size_c", "reach_c", "size_s")))
-    more = (100 + percent) * F.col("q") / percent + 1e-6
-    share = share.filter((F.col("size_c") <= F.col("reach") + more) & (F.col("size_s") <= F.col("reach_c") + more)).select("s", "c")
-    least = F.ceil(F.col("size_s") * percent / 100)
-    classes = F.sequence(_size_class(least), F.greatest(_size_class(F.col("reach")), _size_class(least)))
-    sized = ask.filter(F.col("reach") + 1e-6 >= least).withColumn("least", least).select("s", "cs", "pivot", "least", "size_s", (F.col("reach") + 1e-6).alias("reach"), F.explode(classes).alias("k"))
-    small = other.withColumn("k", _size_class(F.col("size_c"))).select("c", "cc", "pivot", "size_c", (F.col("reach_c") + 1e-6).alias("reach_c"), "k")
-    short = sized.join(small, ["pivot", "k"]).filter("cs <> cc and size_c between least and reach and size_s <= reach_c").select("s", "c")
-    return share.unionByName(short).select(F.least("s", "c").alias("u"), F.greatest("s", "c").alias("v")).distinct()
+    rows = named.join(largest, "bucket").select("doc_id", "largest").coalesce(tasks).distinct().coalesce(tasks).join(pivots, "largest").coalesce(tasks)
+    return work.save(rows.select(F.col("doc_id").alias("u"), F.col("pivot").alias("v")), "groups")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text", work: Workspace | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of docs; texts with at least percent of common n-grams are linked."""
-    work = work or Workspace(docs.sparkSession, "neardup")
+def _per_group(rows: DataFrame, groups: DataFrame, work: Workspace, name: str, how: str = "inner") -> DataFrame:
+    """rows with the columns of their group, which are broadcast if they are few."""
+    groups = work.save(groups, name)
+    return rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_KEYS // 8 else groups, "g", how)
+
+
+def _divided(rows: DataFrame, found: DataFrame, work: Workspace, label: str, tasks: int) -> DataFrame:
+    """rows (g, u, ...) of groups that hold several components, with component and n, the members of the group."""
+    rows = rows.join(found.coalesce(tasks), F.col("u") == F.col("node"), "left").withColumn("component", F.coalesce("component", "u")).drop("node").coalesce(tasks)
+    groups = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("g", "n").coalesce(tasks)
+    return _per_group(rows, groups, work, f"{label}-groups").coalesce(tasks)
+
+
+def _paired(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between the members of small groups: rows (g, u, size, d, component)."""
+    rows = rows.withColumn("r", _r(percent, F.col("d"), F.col("size")))
+    other = rows.select("g", *(F.col(c).alias(f"{c}2") for c in ("u", "d", "component", "r")))
+    least = F.ceil((F.col("r") + F.col("r2")) / (2.0 * (100 + percent)))
+    pairs = rows.join(other, "g").filter("u < u2 and component <> component2").filter(F.least(F.size("d"), F.size("d2")) >= least)
+    return pairs.filter(2 * (100 + percent) * F.size(F.array_intersect("d", "d2")) >= F.col("r") + F.col("r2")).select("u", F.col("u2").alias("v"))
+
+
+def _r(percent: int, d: Column, size: Column) -> Column:
+    return (100 + percent) * F.size(d).cast("long") - (100 - percent) * size
+
+
+def _narrowed(rows: DataFrame, percent: int, work: Workspace, label: str, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """(links, parts) of large groups (g, u, size, d, n): links with the member nearest to the reference set, and the
+    smaller groups (g, u, size, d) in which all other links are."""
+    most = rows.select("g", "n", F.explode("d").alias("x")).groupBy("g", "x").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(2 * F.col("c") > F.col("n"))
+    most = most.groupBy("g").agg(F.collect_list("x").alias("m")).coalesce(tasks)
+    m = F.coalesce("m", F.array().cast("array<long>"))
+    rows = _per_group(rows, most, work, f"{label}-most", "left").select("g", "u", "size", F.concat(F.array_except("d", m), F.array_except(m, "d")).alias("d"))
+    rows = work.save(rows.withColumn("r", _r(percent, F.col("d"), F.col("size"))).coalesce(tasks), f"{label}-shifted")
+    best = rows.groupBy("g").agg(F.min(F.struct("r", "u")).alias("best")).coalesce(tasks)
+    near = _per_group(rows, best, work, f"{label}-best")
+    links = work.save(near.filter((F.col("r") + F.col("best.r") <= 0) & (F.col("u") != F.col("best.u"))).select("u", F.col("best.u").alias("v")), f"{label}-nearest")
+
+    need = F.greatest(F.lit(1), F.ceil((F.col("r") + F.col("best.r")) / (2.0 * (100 + percent)))).cast("int")
+    rows = near.withColumn("need", need).filter(F.size("d") >= F.col("need")).select("g", "u", "size", "d", "need")
+    rows = work.save(rows.coalesce(tasks), f"{label}-rest")
+    items = rows.select("g", "u", "need", F.explode("d").alias("x"))
+    often = work.save(items.groupBy("g", "x").agg(F.count("*").alias("f")).filter("f > 1").coalesce(tasks), f"{label}-often")
+    often = F.broadcast(often) if often.count() <= BROADCAST_KEYS // 2 else often
+    rare = items.join(often, ["g", "x"]).groupBy("g", "u").agg(F.first("need").alias("need"), F.sort_array(F.collect_list(F.struct("f", "x"))).alias("order"))
+    rare = rare.filter(F.size("order") >= F.col("need")).select("g", "u", F.explode(F.slice("order", F.lit(1), F.size("order") - F.col("need") + 1)).alias("o"))
+    return links, work.save(rare.select("g", "u", F.col("o.x").alias("x")).coalesce(tasks), f"{label}-rare")
+
+
+def near_links(members: DataFrame, ids: DataFrame, links: DataFrame, texts: DataFrame, n: int, percent: int, work: Workspace, tasks: int) -> DataFrame:
+    """(node, component) once all links between members (bucket, doc_id) of a bucket are found, beginning with links."""
+    found = components(links, work, "first-components")
+    pairs = _groups(members, found, ids, work, tasks)
+    rows = work.save(_differences(pairs, texts, n, tasks).select(F.col("v").cast("string").alias("g"), "u", "size", "d"), "differences")
+    k = 0
+    while True:
+        live = work.save(_divided(rows, found, work, f"level-{k}", tasks), f"level-{k}")
+        large, total = live.agg(F.count_if(F.col("n") > PAIRED), F.count("*")).first()
+        if not total:
+            return found
+        links = work.save(_paired(live.filter(F.col("n") <= PAIRED), percent).distinct().coalesce(tasks), f"level-{k}-paired")
+        if large:
+            nearest, rare = _narrowed(live.filter(F.col("n") > PAIRED), percent, work, f"level-{k}", tasks)
+            links = links.unionByName(nearest)
+        known = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        found = components(known.unionByName(links), work, f"level-{k}-components")
+        if not large:
+            return found
+        parts = _divided(rare.select(F.md5(F.concat_ws("/", "g", F.col("x").cast("string"))).alias("g"), F.col("g").alias("whole"), "u"), found, work, f"level-{k}-parts", tasks)
+        rest = work.spark.read.parquet(f"{work.path}/level-{k}-rest").select(F.col("g").alias("whole"), "u", "size", "d")
+        rows = work.save(parts.select("g", "whole", "u").join(rest, ["whole", "u"]).select("g", "u", "size", "d").coalesce(tasks), f"level-{k}-rows")
+        k += 1
+
+
+def _named(df: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """df (doc_id, th, ...) with node, the number under which the text takes part: its id where that has one text."""
+    own = F.col("doc_id")
+    if repeated is not None:
+        clash = repeated.filter("low < high").select(F.col("doc_id").alias("_id"), F.col("low").alias("_low"))
+        df = df.join(clash, F.col("doc_id") == F.col("_id"), "left")
+        own = F.when(F.col("_id").isNull() | (F.col("th") == F.col("_low")), F.col("doc_id"))
+    other = F.lit(UNNAMED) + F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("th")).bitwiseAND(F.lit(UNNAMED - 1))
+    return df.withColumn("node", F.coalesce(own, other)).drop("_id", "_low")
+
+
+def classes(docs: DataFrame, n: int, percent: int, bands: int, rows: int, key: str, text: str, work: Workspace, by_id: bool) -> tuple[DataFrame, DataFrame | None]:
+    """((doc_id, th, n_shingles, node, component) of each row of docs, rows that repeat: (doc_id, low, high: of th)).
+
+    by_id: all texts of one id are one document.
+    """
     every = work.save(signatures(docs, n, bands, rows, key, text), "signatures")
+    repeated = work.save(every.filter("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("c"), F.min("th").alias("low"), F.max("th").alias("high")).filter("c > 1").drop("c"), "repeated")
+    many = repeated.count()
+    repeated = (F.broadcast(repeated) if many <= BROADCAST_KEYS // 2 else repeated) if many else None
+    every = _named(every, repeated)
     some = every.filter("n_shingles > 0")
-    equal = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1 and rep is not null").select("s1", "s2", "rep")
-    equal = work.save(equal, "equal")
-    few = equal.count() <= BROADCAST_KEYS // 2
-    equal = F.broadcast(equal) if few else equal
+    equal = work.save(some.groupBy("s1", "s2").agg(F.min("node").alias("rep"), F.count("*").alias("c")).filter("c > 1").select("s1", "s2", "rep"), "equal")
+    equal = F.broadcast(equal) if equal.count() <= BROADCAST_KEYS // 2 else equal
 
     # Buckets of representatives that have more than one.
-    reps = some.filter("doc_id is not null").join(equal, ["s1", "s2"], "left").filter("rep is null or rep = doc_id")
+    reps = some.join(equal, ["s1", "s2"], "left").filter("rep is null or rep = node").select(F.col("node").alias("doc_id"), "keys", "sig")
+    reps = reps.dropDuplicates(["doc_id"]) if many else reps
     band = reps.select("doc_id", F.explode("keys").alias("bucket"))
     draw = [F.min(F.struct(F.xxhash64(F.lit(k), "bucket", "doc_id"), "doc_id"))["doc_id"].alias(f"leader{k}") for k in range(ORDERS)]
     shared = band.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"), *draw).filter("low < high").drop("low", "high")
@@ -241,51 +295,54 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     n_ids = ids.count()
     near = F.broadcast(ids.select("doc_id")) if n_ids <= BROADCAST_KEYS else ids.select("doc_id")
     tasks = MEMBER_TASKS + n_ids // TASK_MEMBERS
-    plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    texts = work.save(plain.join(near, "doc_id", "left_semi").dropDuplicates(["doc_id"]) if _repeats(every) else plain.join(near, "doc_id", "left_semi"), "texts")
+    texts = _named(_plain(docs, key, text), repeated).select(F.col("node").alias("doc_id"), "text").join(near, "doc_id", "left_semi")
+    texts = work.save(texts.dropDuplicates(["doc_id"]) if many else texts, "texts")
     sigs = reps.join(near, "doc_id", "left_semi").select("doc_id", "sig")
 
-    def verify(pairs: DataFrame, label: str) -> DataFrame:
-        likely = work.save(_likely(pairs, sigs, percent / 100, bands * rows, tasks), f"{label}-likely")
-        return work.save(_verified(likely, texts, n, percent, tasks), f"{label}-links")
-
     met = members.select("doc_id", F.explode(F.array_distinct(F.array(*(f"leader{k}" for k in range(ORDERS))))).alias("leader")).filter("doc_id <> leader")
     met = met.groupBy("doc_id", "leader").agg(F.count("*").alias("times"))
     best = met.groupBy("doc_id").agg(*(F.max_by("leader", F.struct("times", F.xxhash64(F.lit(k), "leader"))).alias(f"b{k}") for k in range(TRIES)))
     first = best.select(F.col("doc_id").alias("u"), F.explode(F.array_distinct(F.array(*(f"b{k}" for k in range(TRIES))))).alias("v"))
-    links = verify(first, "first")
-    found = components(links, work, "first-components")
-
-    # Components grow together until nothing is linked; what is still divided is compared.
-    for k in range(GROWTHS + 1):
-        divided = _divided(members, found, ids, work, f"divided-{k}", tasks)
-        against, related = _common(divided, texts, n, work, f"growth-{k}", tasks)
-        if k == GROWTHS:
-            break
-        linked = 100 * F.col("common") >= percent * (F.col("size_u") + F.col("size_v") - F.col("common"))
-        near = against.filter((F.col("u") != F.col("v")) & linked).select("u", "v")
-        links = links.unionByName(near).unionByName(verify(_nearest(divided, related), f"growth-{k}"))
-        before, found = found, components(links, work, f"growth-components-{k}")
-        if before.count() == found.count() and not before.join(found, ["node", "component"], "left_anti").limit(1).count():
-            break
-    pairs = work.save(_rest(divided, related, percent), "second-pairs")
-    links = links.unionByName(work.save(_verified(pairs, texts, n, percent, tasks), "second-links"))
-    found = components(links, work, "components")
+    likely = work.save(_likely(first, sigs, percent / 100, bands * rows, tasks), "likely")
+    links = work.save(_verified(likely, texts, n, percent, tasks), "links")
+    found = near_links(members, ids, links, texts, n, percent, work, tasks)
 
-    owned = every.select("doc_id", "n_shingles", "s1", "s2").join(equal, ["s1", "s2"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
-    return owned.join(found, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    owned = every.select("doc_id", "th", "n_shingles", "s1", "s2", "node").join(equal, ["s1", "s2"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "node")).otherwise(F.col("node")))
+    if many and by_id:
+        same = owned.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v"), F.collect_set("rep").alias("all")).filter("u < v")
+        known = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        found = components(known.unionByName(same.select("u", F.explode("all").alias("v"))), work, "by-id")
+    found = found.withColumnRenamed("node", "rep")
+    return owned.join(found, "rep", "left").select("doc_id", "th", "n_shingles", "node", F.coalesce("component", "rep").alias("component")), repeated
 
 
-def _repeats(every: DataFrame) -> bool:
-    return every.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text", work: Workspace | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of docs; texts with at least percent of common n-grams are linked."""
+    work = work or Workspace(docs.sparkSession, "neardup")
+    since = len(work.saved)
+    found, _ = classes(docs, n, percent, bands, rows, key, text, work, True)
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("component") < UNNAMED, F.col("component")))
+    out = work.save(found.select("doc_id", "n_shingles", own.alias("component_id")), "near-duplicates")
+    work.clear(since, "near-duplicates")
+    return out
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those that are near-duplicates of one with a smaller id."""
-    gone = near_duplicates(docs, n, percent, key=key, text=text).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    """One row of docs of each group of near-duplicates, that with the least id; one of rows that repeat an id and text."""
     work = Workspace(docs.sparkSession, "keep")
-    gone = work.save(gone, "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, F.col(key) == F.col("_gone"), "left_anti")
+    found, repeated = classes(docs, n, percent, BANDS, ROWS, key, text, work, False)
+    gone = work.save(found.filter("n_shingles > 0 and node <> component").select(F.col("doc_id").alias("_gone"), F.col("th").alias("_gone_th")).distinct(), "gone")
+    again = work.save(found.groupBy("doc_id", "th").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("doc_id").alias("_again"), F.col("th").alias("_again_th")), "again")
+    work.clear(0, "gone", "again")
+    th = F.xxhash64(F.col(f"`{text}`"))
+    is_in = lambda t: F.col(f"`{key}`").cast("long").eqNullSafe(F.col(t.columns[0])) & (th == F.col(t.columns[1]))
+    small = lambda t: F.broadcast(t) if t.count() <= BROADCAST_KEYS // 2 else t
+    kept = docs.join(small(gone), is_in(gone), "left_anti")
+    if not again.limit(1).count():
+        return kept
+    marked = kept.withColumn("_again_th", th)
+    twice = marked.join(small(again.select("_again", F.col("_again_th").alias("_t"))), F.col(f"`{key}`").cast("long").eqNullSafe(F.col("_again")) & (F.col("_again_th") == F.col("_t")), "left_semi")
+    return kept.join(small(again), is_in(again), "left_anti").unionByName(twice.dropDuplicates([key, "_again_th"]).drop("_again_th"))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,12 +73,59 @@ def test_near_edges(spark, corpus, nothing):
     got = [(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(corpus, n=2).collect()]
     assert sorted(x for x in got if x[0] in (0, 6)) == [(0, 0), (6, 0), (6, 0)] and (None, None) in got and (1, 1) in got
     kept = neardup.keep_one(corpus)
-    assert kept.columns == corpus.columns and kept.count() == corpus.count() - 2
+    assert kept.columns == corpus.columns and sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == [-1, 0, 1, 2, 3, 4, 5, 7, 8, 9]
     assert neardup.near_duplicates(nothing).collect() == [] and neardup.keep_one(nothing).collect() == []
     same = spark.createDataFrame([(None, "x y z"), (4, "x y z"), (3, "x y z")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["component_id"]) for r in neardup.near_duplicates(same, n=2).collect()) == [(0, 3), (3, 3), (4, 3)]
 
 
+def test_near_rows_that_repeat_ids_and_have_none(spark):
+    a, b = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    rows = [(1, a), (1, a), (2, a + " x"), (3, b), (3, "other words of its own"), (4, b + " y"), (None, a), (None, b), (None, "lone one"), (None, "lone one"), (5, None), (5, None), (3, None), (6, "lone two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, n=2).collect())
+    assert got == [(-1, 1, None), (-1, 1, None), (-1, 19, 1), (-1, 19, 3), (1, 19, 1), (1, 19, 1), (2, 20, 1), (3, 0, 3), (3, 4, 3), (3, 19, 3), (4, 20, 3), (5, 0, 5), (5, 0, 5), (6, 1, 6)]
+    kept = sorted((r["doc_id"] or -1, r["text"] or "") for r in neardup.keep_one(df, n=2).collect())
+    assert kept == sorted([(1, a), (3, b), (3, "other words of its own"), (-1, "lone one"), (5, ""), (3, ""), (6, "lone two")])
+
+
+def template(rng, n, size=100, own=5):
+    """Texts of one template, each with words of its own at places of its own."""
+    base = [f"t{i}" for i in range(size)]
+    out = []
+    for d in range(n):
+        w = list(base)
+        for i in rng.sample(range(size), own):
+            w[i] = f"own{d}x{i}"
+        out.append((d, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("own", [3, 4, 5])
+def test_filled_templates_equal_brute_force(spark, own, monkeypatch):
+    """Around the threshold: with 3 own words most are linked, with 4 some, with 5 none, though all share buckets."""
+    docs = template(random.Random(own), 160, own=own)
+    monkeypatch.setattr(neardup, "PAIRED", 8)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), n=2).collect()}
+    assert got == brute_near(docs, 2, 80)[0]
+
+
+def test_filled_templates_are_not_paired_off(spark, monkeypatch):
+    """Compared pairs grow with the documents, not with their square."""
+    seen, paired = [], neardup._paired
+
+    def counted(rows, percent):
+        seen[-1] += rows.groupBy("g").count().selectExpr("coalesce(sum(count * (count - 1) / 2), 0)").first()[0]
+        return paired(rows, percent)
+
+    monkeypatch.setattr(neardup, "_paired", counted)
+    for n in (200, 800):
+        seen.append(0)
+        got = neardup.near_duplicates(spark.createDataFrame(template(random.Random(1), n), "doc_id long, text string"), n=2)
+        assert got.filter("doc_id <> component_id").count() <= n // 100
+    assert seen[1] <= 24 * 800 and seen[1] <= 8 * max(seen[0], 200), seen
+
+
 def brute_cut(docs, window):
     words = {i: (t or "").split() for i, (_, t) in enumerate(docs)}
     seen = {}
