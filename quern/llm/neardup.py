@@ -6,8 +6,7 @@
    hash, one for each of a few orders; each document is verified against the few leaders with which it shares most
    buckets: one-byte signatures drop only what is five standard errors below the threshold, full shingle sets decide.
    Components of the verified links follow.
-3. The members of buckets with several components form a group around a pivot, a document of the bucket's largest
-   component. From here on a document s of a group is D(s), the shingles in which its full set differs from the group's
+3. The members of buckets with several components form groups, each around a pivot document. From here on a document s of a group is D(s), the shingles in which its full set differs from the group's
    reference set P. For any P, documents s and c differ in |D(s)| + |D(c)| - 2 |D(s) & D(c)| shingles, and 100 * common >=
    t * union is the same as (100 + t) * differing <= (100 - t) * (|s| + |c|). With R(s) = (100 + t) |D(s)| - (100 - t) |s|
    they are linked if and only if 2 (100 + t) |D(s) & D(c)| >= R(s) + R(c).
@@ -49,11 +48,9 @@ BANDS, ROWS, ORDERS, TRIES = 44, 5, 2, 2
 #: Documents with a neighbour in a task, and tasks for few of them.
 TASK_MEMBERS, MEMBER_TASKS = 1000, 6
 #: Members of a group that is compared pair by pair.
-PAIRED = 24
+PAIRED = 12
 #: Numbers from here on stand for rows without an id, or with one that has other texts too.
 UNNAMED = 1 << 62
-
-
 def shingle_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram hashes, ascending within each row, and where each row's begin."""
     h, rows = w.hashes(), len(w.first) - 1
@@ -172,17 +169,18 @@ def _differences(pairs: DataFrame, texts: DataFrame, n: int, tasks: int) -> Data
 
 
 def _groups(members: DataFrame, found: DataFrame, ids: DataFrame, work: Workspace, tasks: int) -> DataFrame:
-    """Pairs (u, v): documents of buckets that hold several components, and their pivots.
+    """Pairs (u, v): documents of buckets that hold several components, and the pivots of their groups.
 
-    The pivot is the document with the greatest weight in the bucket's component with most members in it.
+    A bucket's top is its document with the greatest weight; its group has for pivot the weightiest of all tops of the
+    buckets that this is in. So the many buckets of one large set of similar documents are mostly one group.
     """
-    found = found.coalesce(tasks)
-    named = members.select("bucket", "doc_id").coalesce(tasks).join(found, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")).coalesce(tasks)
-    held = work.save(named.groupBy("bucket", "component").agg(F.count("*").alias("c")).coalesce(tasks), "held")
-    largest = held.groupBy("bucket").agg(F.max(F.struct("c", "component"))["component"].alias("largest"), F.count("*").alias("n")).filter("n > 1").select("bucket", "largest").coalesce(tasks)
-    pivots = ids.join(found, F.col("doc_id") == F.col("node"), "left").groupBy(F.coalesce("component", "doc_id").alias("largest")).agg(F.max(F.struct("weight", "doc_id"))["doc_id"].alias("pivot")).coalesce(tasks)
-    rows = named.join(largest, "bucket").select("doc_id", "largest").coalesce(tasks).distinct().coalesce(tasks).join(pivots, "largest").coalesce(tasks)
-    return work.save(rows.select(F.col("doc_id").alias("u"), F.col("pivot").alias("v")), "groups")
+    named = members.select("bucket", "doc_id").coalesce(tasks).join(ids, "doc_id").join(found.coalesce(tasks), F.col("doc_id") == F.col("node"), "left").coalesce(tasks)
+    named = work.save(named.select("bucket", "doc_id", "weight", F.coalesce("component", "doc_id").alias("component")), "named")
+    top = named.groupBy("bucket").agg(F.max(F.struct("weight", "doc_id")).alias("top"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket", "top")
+    rows = work.save(named.select("bucket", "doc_id").join(top.coalesce(tasks), "bucket").coalesce(tasks), "divided")
+    best = rows.groupBy("doc_id").agg(F.max("top")["doc_id"].alias("v")).select(F.col("doc_id").alias("at"), "v").coalesce(tasks)
+    pairs = rows.select(F.col("doc_id").alias("u"), F.col("top.doc_id").alias("at")).distinct().coalesce(tasks).join(best, "at").select("u", "v").distinct()
+    return work.save(pairs.coalesce(tasks), "groups")
 
 
 def _per_group(rows: DataFrame, groups: DataFrame, work: Workspace, name: str, how: str = "inner") -> DataFrame:
@@ -212,33 +210,38 @@ def _r(percent: int, d: Column, size: Column) -> Column:
 
 
 def _narrowed(rows: DataFrame, percent: int, work: Workspace, label: str, tasks: int) -> tuple[DataFrame, DataFrame]:
-    """(links, parts) of large groups (g, u, size, d, n): links with the member nearest to the reference set, and the
-    smaller groups (g, u, size, d) in which all other links are."""
+    """Of large groups (g, u, size, d, skip, n): links with the member nearest to the reference set, and (g, u, x, before).
+
+    Two members that are linked otherwise have a row with the same x, the first of their common differences in the order
+    of the group; before: the member's own differences before x, which the two haven't in common. skip: those of the
+    groups that g is a part of.
+    """
     most = rows.select("g", "n", F.explode("d").alias("x")).groupBy("g", "x").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(2 * F.col("c") > F.col("n"))
     most = most.groupBy("g").agg(F.collect_list("x").alias("m")).coalesce(tasks)
     m = F.coalesce("m", F.array().cast("array<long>"))
-    rows = _per_group(rows, most, work, f"{label}-most", "left").select("g", "u", "size", F.concat(F.array_except("d", m), F.array_except(m, "d")).alias("d"))
+    rows = _per_group(rows, most, work, f"{label}-most", "left").select("g", "u", "size", F.concat(F.array_except("d", m), F.array_except(m, "d")).alias("d"), F.array_except("skip", m).alias("skip"))
     rows = work.save(rows.withColumn("r", _r(percent, F.col("d"), F.col("size"))).coalesce(tasks), f"{label}-shifted")
     best = rows.groupBy("g").agg(F.min(F.struct("r", "u")).alias("best")).coalesce(tasks)
     near = _per_group(rows, best, work, f"{label}-best")
     links = work.save(near.filter((F.col("r") + F.col("best.r") <= 0) & (F.col("u") != F.col("best.u"))).select("u", F.col("best.u").alias("v")), f"{label}-nearest")
 
     need = F.greatest(F.lit(1), F.ceil((F.col("r") + F.col("best.r")) / (2.0 * (100 + percent)))).cast("int")
-    rows = near.withColumn("need", need).filter(F.size("d") >= F.col("need")).select("g", "u", "size", "d", "need")
-    rows = work.save(rows.coalesce(tasks), f"{label}-rest")
-    items = rows.select("g", "u", "need", F.explode("d").alias("x"))
+    rows = near.withColumn("need", need).withColumn("open", F.array_except("d", "skip")).filter(F.size("open") >= F.col("need"))
+    rows = work.save(rows.select("g", "u", "size", "d", "skip", "open", "need").coalesce(tasks), f"{label}-rest")
+    items = rows.select("g", "u", "need", F.explode("open").alias("x"))
     often = work.save(items.groupBy("g", "x").agg(F.count("*").alias("f")).filter("f > 1").coalesce(tasks), f"{label}-often")
     often = F.broadcast(often) if often.count() <= BROADCAST_KEYS // 2 else often
     rare = items.join(often, ["g", "x"]).groupBy("g", "u").agg(F.first("need").alias("need"), F.sort_array(F.collect_list(F.struct("f", "x"))).alias("order"))
-    rare = rare.filter(F.size("order") >= F.col("need")).select("g", "u", F.explode(F.slice("order", F.lit(1), F.size("order") - F.col("need") + 1)).alias("o"))
-    return links, work.save(rare.select("g", "u", F.col("o.x").alias("x")).coalesce(tasks), f"{label}-rare")
+    rare = rare.filter(F.size("order") >= F.col("need")).select("g", "u", F.slice("order.x", F.lit(1), F.size("order") - F.col("need") + 1).alias("first"))
+    rare = rare.select("g", "u", "first", F.posexplode("first").alias("at", "x")).select("g", "u", "x", F.slice("first", F.lit(1), F.col("at")).alias("before"))
+    return links, work.save(rare.coalesce(tasks), f"{label}-rare")
 
 
 def near_links(members: DataFrame, ids: DataFrame, links: DataFrame, texts: DataFrame, n: int, percent: int, work: Workspace, tasks: int) -> DataFrame:
     """(node, component) once all links between members (bucket, doc_id) of a bucket are found, beginning with links."""
     found = components(links, work, "first-components")
     pairs = _groups(members, found, ids, work, tasks)
-    rows = work.save(_differences(pairs, texts, n, tasks).select(F.col("v").cast("string").alias("g"), "u", "size", "d"), "differences")
+    rows = work.save(_differences(pairs, texts, n, tasks).select(F.col("v").cast("string").alias("g"), "u", "size", "d", F.array().cast("array<long>").alias("skip")), "differences")
     k = 0
     while True:
         live = work.save(_divided(rows, found, work, f"level-{k}", tasks), f"level-{k}")
@@ -249,13 +252,15 @@ def near_links(members: DataFrame, ids: DataFrame, links: DataFrame, texts: Data
         if large:
             nearest, rare = _narrowed(live.filter(F.col("n") > PAIRED), percent, work, f"level-{k}", tasks)
             links = links.unionByName(nearest)
-        known = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
-        found = components(known.unionByName(links), work, f"level-{k}-components")
+        if links.limit(1).count():
+            known = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+            found = components(known.unionByName(links), work, f"level-{k}-components")
         if not large:
             return found
-        parts = _divided(rare.select(F.md5(F.concat_ws("/", "g", F.col("x").cast("string"))).alias("g"), F.col("g").alias("whole"), "u"), found, work, f"level-{k}-parts", tasks)
-        rest = work.spark.read.parquet(f"{work.path}/level-{k}-rest").select(F.col("g").alias("whole"), "u", "size", "d")
-        rows = work.save(parts.select("g", "whole", "u").join(rest, ["whole", "u"]).select("g", "u", "size", "d").coalesce(tasks), f"level-{k}-rows")
+        parts = _divided(rare.select(F.md5(F.concat_ws("/", "g", F.col("x").cast("string"))).alias("g"), F.col("g").alias("whole"), "u", "before"), found, work, f"level-{k}-parts", tasks)
+        rest = work.spark.read.parquet(f"{work.path}/level-{k}-rest").select(F.col("g").alias("whole"), "u", "size", "d", "skip")
+        rows = parts.select("g", "whole", "u", "before").join(rest, ["whole", "u"]).select("g", "u", "size", "d", F.concat("skip", "before").alias("skip"))
+        rows = work.save(rows.coalesce(tasks), f"level-{k}-rows")
         k += 1
 
 
