@@ -4,11 +4,12 @@ Words are runs of digits, letters and characters beyond ASCII after A-Z are lowe
 words of an item; an item of fewer words is one window. The set holds window hashes and, to verify each hit, the words.
 A document word inside any occurrence of a window is hit.
 
-The set is bounded: benchmark items are taken in blocks of at most ``max_windows`` windows; each block is one broadcast
+The set is built on the driver, row by row, and bounded: benchmark items are taken in blocks of at most ``max_windows`` windows; each block is one broadcast
 and one more pass over the documents, which carry their hits along. So any size of benchmark gives whole results.
 
 Defined results: null, empty and wordless texts have no words and no hits; wordless items have no window. Repeated
-items each count; an item without an id is none. Repeated documents get equal results. Other columns of docs stay.
+items each count; the windows of an item without an id are hit, but it isn't among the items. Repeated documents get
+equal results. Other columns of docs stay; ``scan_hits`` replaces those of the names that it adds.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ class NgramSet:
         self.found: dict[int, set[int]] = defaultdict(set)
         self.hashes: dict[int, np.ndarray] = {}
 
-    def add(self, item_id: str, text: str | None) -> None:
+    def add(self, item_id: str | None, text: str | None) -> None:
         w = scan(pa.array([text], pa.string()), ALNUM, lower=True)
         if not len(w.start):
             return
@@ -46,8 +47,9 @@ class NgramSet:
         h, _ = w.grams(w.hashes(), k)
         for i, x in enumerate(h.tolist()):
             words = w.text(i, i + k)
-            if not self.items[words] or self.items[words][-1] != item_id:
-                self.items[words].append(item_id)
+            items = self.items[words]
+            if item_id is not None and (not items or items[-1] != item_id):
+                items.append(item_id)
             self.found[k].add(x)
             self.size += 1
 
@@ -59,7 +61,7 @@ class NgramSet:
 
 def ngram_sets(benchmark: DataFrame, n: int, max_windows: int, key: str, text: str) -> Iterator[NgramSet]:
     one = NgramSet(n)
-    for r in benchmark.select(F.col(key).cast("string"), F.col(text)).filter(F.col(key).isNotNull()).toLocalIterator():
+    for r in benchmark.select(F.col(key).cast("string"), F.col(text)).toLocalIterator():
         one.add(r[0], r[1])
         if one.size >= max_windows:
             yield one.close()
@@ -103,7 +105,7 @@ def _scanner(shared, text: str, names: list[str], cut: bool):
                 at[at == len(known)] = 0
                 for i in np.flatnonzero((known[at] == g) & same).tolist():
                     found = grams.items.get(w.text(i, i + k))
-                    if found:
+                    if found is not None:
                         hit[i] += 1
                         hit[i + k] -= 1
                         items[w.row[i]].update(found)
@@ -144,8 +146,9 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", drop_
 
     n_chars, if it is there, follows the text.
     """
-    found = scan_hits(docs, benchmark, text=text, cut=True, **options).filter(F.size("hit_items") < drop_items)
-    new = {text: F.col("cut_text").alias(text)}
+    own = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c in ADDED}  # stay as they are
+    found = scan_hits(docs.withColumnsRenamed(own), benchmark, text=text, cut=True, **options).filter(F.size("hit_items") < drop_items)
+    new = {c: F.col(o).alias(c) for c, o in own.items()} | {text: F.col("cut_text").alias(text)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.size("hit_words") > 0, F.char_length("cut_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return found.select(*(new.get(c, F.col(f"`{c}`")) for c in docs.columns))

@@ -5,33 +5,34 @@ text's grams, inverse document frequency is counted over all learning documents.
 follow-the-regularised-leader (FTRL-proximal) under an elastic-net penalty on a bounded sample of whole documents, then
 calibrated by one temperature on a part of the sample that it wasn't trained on (smoothed targets).
 
-The sample holds at most about ``per_language`` documents of each language, chosen by a hash of the id; document
-frequencies and predictions cover all documents.
+The sample holds at most about ``per_language`` documents of each language, chosen by a 64-bit hash of id and text, and of
+these at most the first ``sample_bytes`` of text in order of that hash, a language's share each; it comes to the driver.
+Document frequencies and predictions cover all documents.
 
-Defined results: a null text or one without a letter is ``und`` with score 0. Without any labelled document everything
+Defined results: a null text or one without a letter (a character of a Unicode category L) is ``und`` with score 0. Without any labelled document everything
 is ``und``. Ties go to the language that sorts first.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.words import U64, blocks, mix
 
 #: Hashed features (2**15), longest n-gram, sampled documents of a language, passes over the sample.
 BITS, LONGEST, PER_LANGUAGE, PASSES = 15, 3, 600, 3
+#: Bytes of sampled text on the driver; a single longer document may exceed a language's share.
+SAMPLE_BYTES = 256 << 20
 #: FTRL learning rate and its offset, L1 and L2 weights.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 #: Term frequencies are shares; this brings them to the size of counts in a short text.
 SCALE = 100.0
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def grams(text: str, bits: int = BITS, longest: int = LONGEST) -> np.ndarray:
@@ -110,13 +111,13 @@ class Model:
         return self.table[grams(text)].mean(0) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.languages or not text or not _LETTER.search(text):
+        if not self.languages or not text or not any(map(str.isalpha, text)):
             return "und", 0.0
         p = softmax(self.logits(text) / self.temperature)
         return self.languages[int(p.argmax())], float(p.max())
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, passes: int = PASSES, seed: int = 11) -> Model:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, passes: int = PASSES, seed: int = 11, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Learn from docs (doc_id, text, lang); rows without text, lang or a letter are no examples."""
     docs = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -125,11 +126,14 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, passes: int = PASSES,
         return Model([], np.zeros(1 << BITS), np.zeros((1 << BITS, 1)), np.zeros(1), 1.0)
     df, total = document_frequency(docs)
     idf = np.log((1 + total) / (1 + df)) + 1
-    share = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000))
+    share = F.xxhash64(F.lit(seed), "doc_id", "text")
     chosen = F.lit(False)
     for lang in languages:
-        chosen = chosen | ((F.col("lang") == lang) & (share < int(1_000_000 * per_language / counts[lang]) + 1))
-    rows = sorted(docs.filter(chosen).select("doc_id", "text", "lang").collect(), key=lambda r: zlib.crc32(f"{seed}/{r['doc_id']}".encode()))
+        chosen = chosen | ((F.col("lang") == lang) & (share <= -(1 << 63) + int((1 << 64) * min(1.0, per_language / counts[lang])) - 1))
+    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("share", "doc_id", "text"))
+    sample = docs.filter(chosen).select("doc_id", "text", "lang", share.alias("share")).withColumn("upto", upto)
+    sample = sample.filter(F.col("upto") - F.octet_length("text") <= sample_bytes // len(languages))
+    rows = sorted(sample.collect(), key=lambda r: (zlib.crc32(f"{seed}/{r['doc_id']}".encode()), r["text"]))
     examples = [(*features(r["text"], idf), languages.index(r["lang"])) for r in rows]
     held, learn = examples[::5], [e for i, e in enumerate(examples) if i % 5] or examples
     model = Ftrl(1 << BITS, len(languages))

@@ -56,8 +56,8 @@ def _plain(line: Column) -> Column:
 
 def _lines(docs: DataFrame, text: str, key: str) -> DataFrame:
     """(doc, dh, line, s): lines that have a word, s the words joined by one blank."""
-    x = F.col(text)
-    rows = docs.select(F.col(key).alias("doc"), F.xxhash64(x).alias("dh"), F.posexplode(F.split(x, "\n")).alias("line", "raw"))
+    x = F.col(f"`{text}`")
+    rows = docs.select(F.col(f"`{key}`").alias("doc"), F.xxhash64(x).alias("dh"), F.posexplode(F.split(x, "\n")).alias("line", "raw"))
     return rows.select(*PLACE, _plain(F.col("raw")).alias("s")).filter("s <> ''")
 
 
@@ -118,8 +118,8 @@ def duplicate_lines(docs: DataFrame, work: Workspace, text: str = "text", key: s
     some = _listed(first.join(shared, "h").select("at.*", "shared"), work, "candidates", F.col("shared"))
 
     # Their words, and the deletion neighbourhoods.
-    x = F.col(f"d.{text}")
-    met = docs.alias("d").join(some, F.col(f"d.{key}").eqNullSafe(F.col("doc")) & (F.xxhash64(x) == F.col("dh")))
+    x = F.col("d.text")
+    met = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).alias("d").join(some, F.col("d.key").eqNullSafe(F.col("doc")) & (F.xxhash64(x) == F.col("dh")))
     met = met.select("doc", "dh", F.inline(let(F.split(x, "\n"), lambda r: F.transform("entries", lambda e: F.struct(e["line"].alias("line"), e["shared"].alias("shared"), F.get(r, e["line"]).alias("raw"))))))
     candidates = work.save(met.select(*PLACE, "shared", _plain(F.col("raw")).alias("s")), "words")
     variants = candidates.withColumn("n", _n_words(s)).select(F.struct(*PLACE).alias("at"), F.inline(_variants(s, n, F.col("shared"), near_words)))
@@ -140,21 +140,21 @@ def duplicate_lines(docs: DataFrame, work: Workspace, text: str = "text", key: s
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", near_words: int = NEAR_WORDS, work: Workspace | None = None) -> DataFrame:
-    """docs with text without the removed lines, and n_lines (with a word) and n_removed as new last columns.
+    """docs with text without the removed lines, and n_lines (with a word) and n_removed as last columns.
 
-    n_chars, if there is such a column, is left to the caller.
+    Columns of these two names are replaced; n_chars, if there is such a column, is left to the caller.
     """
     work = work or Workspace(docs.sparkSession, "linededup")
     lists = _listed(duplicate_lines(docs, work, text, key, near_words), work, "removed")
-    x = F.col(f"d.{text}")
-    joined = docs.alias("d").join(lists, F.col(f"d.{key}").eqNullSafe(F.col("doc")) & (F.xxhash64(x) == F.col("dh")), "left")
+    x = F.col(f"d.`{text}`")
+    joined = docs.alias("d").join(lists.alias("r"), F.col(f"d.`{key}`").eqNullSafe(F.col("r.doc")) & (F.xxhash64(x) == F.col("r.dh")), "left")
     raw = F.split(x, "\n")
-    stay = let(raw, lambda r: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(r) - 1), F.col("entries.line")), lambda i: F.get(r, i)), "\n"))
+    stay = let(raw, lambda r: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(r) - 1), F.col("r.entries.line")), lambda i: F.get(r, i)), "\n"))
     n_lines = F.size(F.filter(raw, lambda r: F.trim(r, F.lit(SPACES)) != ""))
     return joined.select(
-        *(F.when(F.col("entries").isNull(), x).otherwise(stay).alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns),
+        *(F.when(F.col("r.entries").isNull(), x).otherwise(stay).alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")),
         F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("entries"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("r.entries"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

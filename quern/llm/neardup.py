@@ -209,59 +209,92 @@ def _r(percent: int, d: Column, size: Column) -> Column:
     return (100 + percent) * F.size(d).cast("long") - (100 - percent) * size
 
 
-def _narrowed(rows: DataFrame, percent: int, work: Workspace, label: str, tasks: int) -> tuple[DataFrame, DataFrame]:
-    """Of large groups (g, u, size, d, skip, n): links with the member nearest to the reference set, and (g, u, x, before).
+def _least(percent: int, r: Column) -> Column:
+    """Common differences that two documents with r = R + R need."""
+    return F.greatest(F.lit(1), F.ceil(r / (2.0 * (100 + percent)))).cast("int")
 
-    Two members that are linked otherwise have a row with the same x, the first of their common differences in the order
-    of the group; before: the member's own differences before x, which the two haven't in common. skip: those of the
-    groups that g is a part of.
+
+def _narrowed(rows: DataFrame, percent: int, work: Workspace, label: str, tasks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of large groups (g, u, size, d, skip, component, n): links with the member nearest to the reference set; the other
+    members that may be linked (g, u, size, d, skip, first); and their parts, a row for each u and x in first.
+
+    Two members that are linked otherwise share a part, that of the first of their common differences in the order of
+    the group. skip: differences that no such pair of members has in common, from the groups that g is a part of.
+    Members of the nearest one's component (core) need no links with each other, so each side's least number of common
+    differences follows from the least R of the other side; short: is x also in the shorter list that links within the
+    rest need? A part without core has the short ones alone.
     """
     most = rows.select("g", "n", F.explode("d").alias("x")).groupBy("g", "x").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(2 * F.col("c") > F.col("n"))
     most = most.groupBy("g").agg(F.collect_list("x").alias("m")).coalesce(tasks)
     m = F.coalesce("m", F.array().cast("array<long>"))
-    rows = _per_group(rows, most, work, f"{label}-most", "left").select("g", "u", "size", F.concat(F.array_except("d", m), F.array_except(m, "d")).alias("d"), F.array_except("skip", m).alias("skip"))
+    rows = _per_group(rows, most, work, f"{label}-most", "left").select("g", "u", "size", "component", F.concat(F.array_except("d", m), F.array_except(m, "d")).alias("d"), F.array_except("skip", m).alias("skip"))
     rows = work.save(rows.withColumn("r", _r(percent, F.col("d"), F.col("size"))).coalesce(tasks), f"{label}-shifted")
-    best = rows.groupBy("g").agg(F.min(F.struct("r", "u")).alias("best")).coalesce(tasks)
+    best = rows.groupBy("g").agg(F.min(F.struct("r", "u", "component")).alias("best")).coalesce(tasks)
     near = _per_group(rows, best, work, f"{label}-best")
-    links = work.save(near.filter((F.col("r") + F.col("best.r") <= 0) & (F.col("u") != F.col("best.u"))).select("u", F.col("best.u").alias("v")), f"{label}-nearest")
-
-    need = F.greatest(F.lit(1), F.ceil((F.col("r") + F.col("best.r")) / (2.0 * (100 + percent)))).cast("int")
-    rows = near.withColumn("need", need).withColumn("open", F.array_except("d", "skip")).filter(F.size("open") >= F.col("need"))
-    rows = work.save(rows.select("g", "u", "size", "d", "skip", "open", "need").coalesce(tasks), f"{label}-rest")
-    items = rows.select("g", "u", "need", F.explode("open").alias("x"))
+    linked = F.col("r") + F.col("best.r") <= 0
+    links = work.save(near.filter(linked & (F.col("u") != F.col("best.u"))).select("u", F.col("best.u").alias("v")), f"{label}-nearest")
+
+    near = near.withColumn("core", linked | (F.col("component") == F.col("best.component")))
+    other = near.filter("not core").groupBy("g").agg(F.min("r").alias("r2")).coalesce(tasks)
+    near = _per_group(near, other, work, f"{label}-other").withColumn("need", _least(percent, F.col("r") + F.when(F.col("core"), F.col("r2")).otherwise(F.col("best.r"))))
+    near = near.withColumn("need2", _least(percent, F.col("r") + F.col("r2"))).withColumn("open", F.array_except("d", "skip")).filter(F.size("open") >= F.col("need"))
+    fields = ["g", "u", "size", "d", "skip", "r", "component", "core", "need", "need2"]
+    near = work.save(near.select(*fields, "open").coalesce(tasks), f"{label}-open")
+    items = near.select("g", "u", "need", F.explode("open").alias("x"))
     often = work.save(items.groupBy("g", "x").agg(F.count("*").alias("f")).filter("f > 1").coalesce(tasks), f"{label}-often")
     often = F.broadcast(often) if often.count() <= BROADCAST_KEYS // 2 else often
-    rare = items.join(often, ["g", "x"]).groupBy("g", "u").agg(F.first("need").alias("need"), F.sort_array(F.collect_list(F.struct("f", "x"))).alias("order"))
-    rare = rare.filter(F.size("order") >= F.col("need")).select("g", "u", F.slice("order.x", F.lit(1), F.size("order") - F.col("need") + 1).alias("first"))
-    rare = rare.select("g", "u", "first", F.posexplode("first").alias("at", "x")).select("g", "u", "x", F.slice("first", F.lit(1), F.col("at")).alias("before"))
-    return links, work.save(rare.coalesce(tasks), f"{label}-rare")
+    rare = items.join(often, ["g", "x"]).groupBy("g", "u").agg(F.first("need").alias("need"), F.sort_array(F.collect_list(F.struct("f", "x"))).alias("order")).filter(F.size("order") >= F.col("need"))
+    first = rare.select("g", "u", F.size("order").alias("n_order"), F.slice("order.x", F.lit(1), F.size("order") - F.col("need") + 1).alias("first"))
+    rest = work.save(near.select(*fields).join(first, ["g", "u"]).coalesce(tasks), f"{label}-rest")
+
+    parts = rest.select("g", "u", "r", "component", "core", "need", "need2", "n_order", F.posexplode("first").alias("at", "x"))
+    parts = work.save(parts.withColumn("short", ~F.col("core") & (F.col("at") <= F.col("n_order") - F.col("need2"))).drop("n_order").coalesce(tasks), f"{label}-items")
+    short = F.when(F.col("short"), F.col("component"))
+    sizes = parts.groupBy("g", "x").agg(F.count("*").alias("n"), F.count_if("core").alias("c"), F.count_if("short").alias("s"), F.min(short).alias("low"), F.max(short).alias("high"))
+    sizes = sizes.filter("(c > 0 and n > c) or low < high").select("g", "x", "c", F.when(F.col("c") > 0, F.col("n")).otherwise(F.col("s")).alias("n")).coalesce(tasks)
+    parts = parts.join(sizes, ["g", "x"]).filter("c > 0 or short").drop("c")
+    return links, rest, work.save(parts.coalesce(tasks), f"{label}-parts")
+
+
+def _paired_parts(parts: DataFrame, rest: DataFrame, percent: int, work: Workspace, label: str, tasks: int) -> DataFrame:
+    """Links between the members of small parts. Pairs are counted by common parts first; those that may still have
+    enough common differences, which are in large parts or beyond the shorter list otherwise, meet their differences."""
+    large = parts.filter(F.col("n") > PAIRED).groupBy("g", "u").agg(F.count("*").alias("large"))
+    one = parts.filter(F.col("n") <= PAIRED).join(large, ["g", "u"], "left").select("g", "x", "u", "r", "component", "core", "need", "need2", "short", F.coalesce("large", F.lit(0)).alias("large")).coalesce(tasks)
+    two = one.select("g", "x", *(F.col(c).alias(f"{c}_2") for c in one.columns[2:]))
+    across = F.col("core") != F.col("core_2")
+    pairs = one.join(two, ["g", "x"]).filter((F.col("u") < F.col("u_2")) & (F.col("component") != F.col("component_2")) & (across | (F.col("short") & F.col("short_2"))))
+    beyond = F.when(across, F.greatest("need", "need_2")).otherwise(F.greatest("need2", "need2_2")) - 1 + F.least("large", "large_2")
+    pairs = pairs.groupBy("g", "u", "u_2").agg(F.count("*").alias("q"), F.first(beyond).alias("beyond"), F.first(_least(percent, F.col("r") + F.col("r_2"))).alias("least"))
+    pairs = work.save(pairs.filter(F.col("q") + F.col("beyond") >= F.col("least")).select("g", "u", "u_2", "least").coalesce(tasks), f"{label}-pairs")
+    met = pairs.join(rest.select("g", "u", "d"), ["g", "u"]).coalesce(tasks).join(rest.select("g", F.col("u").alias("u_2"), F.col("d").alias("d_2")), ["g", "u_2"])
+    return work.save(met.filter(F.size(F.array_intersect("d", "d_2")) >= F.col("least")).select("u", F.col("u_2").alias("v")).distinct().coalesce(tasks), f"{label}-paired")
 
 
 def near_links(members: DataFrame, ids: DataFrame, links: DataFrame, texts: DataFrame, n: int, percent: int, work: Workspace, tasks: int) -> DataFrame:
     """(node, component) once all links between members (bucket, doc_id) of a bucket are found, beginning with links."""
     found = components(links, work, "first-components")
     pairs = _groups(members, found, ids, work, tasks)
-    rows = work.save(_differences(pairs, texts, n, tasks).select(F.col("v").cast("string").alias("g"), "u", "size", "d", F.array().cast("array<long>").alias("skip")), "differences")
+    rows = work.save(_differences(pairs, texts, n, tasks).select(F.col("v").alias("g"), "u", "size", "d", F.array().cast("array<long>").alias("skip")), "differences")
+    live = work.save(_divided(rows, found, work, "groups-0", tasks), "live-0")
+    links = work.save(_paired(live.filter(F.col("n") <= PAIRED), percent).distinct().coalesce(tasks), "paired")
     k = 0
     while True:
-        live = work.save(_divided(rows, found, work, f"level-{k}", tasks), f"level-{k}")
-        large, total = live.agg(F.count_if(F.col("n") > PAIRED), F.count("*")).first()
-        if not total:
-            return found
-        links = work.save(_paired(live.filter(F.col("n") <= PAIRED), percent).distinct().coalesce(tasks), f"level-{k}-paired")
+        live = live.filter(F.col("n") > PAIRED)
+        large = live.limit(1).count() > 0
         if large:
-            nearest, rare = _narrowed(live.filter(F.col("n") > PAIRED), percent, work, f"level-{k}", tasks)
-            links = links.unionByName(nearest)
+            label = f"level-{k}"
+            nearest, rest, parts = _narrowed(live, percent, work, label, tasks)
+            links = links.unionByName(nearest).unionByName(_paired_parts(parts, rest, percent, work, label, tasks))
         if links.limit(1).count():
-            known = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
-            found = components(known.unionByName(links), work, f"level-{k}-components")
+            found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links), work, f"components-{k}")
         if not large:
             return found
-        parts = _divided(rare.select(F.md5(F.concat_ws("/", "g", F.col("x").cast("string"))).alias("g"), F.col("g").alias("whole"), "u", "before"), found, work, f"level-{k}-parts", tasks)
-        rest = work.spark.read.parquet(f"{work.path}/level-{k}-rest").select(F.col("g").alias("whole"), "u", "size", "d", "skip")
-        rows = parts.select("g", "whole", "u", "before").join(rest, ["whole", "u"]).select("g", "u", "size", "d", F.concat("skip", "before").alias("skip"))
-        rows = work.save(rows.coalesce(tasks), f"level-{k}-rows")
         k += 1
+        rows = parts.filter(F.col("n") > PAIRED).select("g", "u", "x", "at").join(rest.select("g", "u", "size", "d", "skip", "first"), ["g", "u"])
+        rows = rows.select(F.xxhash64("g", "x").alias("g"), "u", "size", "d", F.concat("skip", F.slice("first", F.lit(1), F.col("at"))).alias("skip"))
+        live = work.save(_divided(rows, found, work, f"groups-{k}", tasks), f"live-{k}")
+        links = links.limit(0)
 
 
 def _named(df: DataFrame, repeated: DataFrame | None) -> DataFrame:

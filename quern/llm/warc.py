@@ -20,6 +20,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,8 @@ from quern.llm.words import blocks
 #: Smallest payload that may be a revisit, and payload bytes after which a task begins a new file.
 LEAST, FILE_BYTES = 100, 64 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-DATE = "1970-01-01T00:00:00Z"
+#: Compressed bytes that a reader feeds at once, and bytes of original URLs that may be broadcast.
+FEED, URL_BYTES = 1 << 14, 16 << 20
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -43,13 +45,13 @@ def _uri(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else "about:blank"
 
 
-def record(page_id: int | None, url: str | None, digest: str, payload: bytes | None, original: int | None = None, original_url: str | None = None) -> bytes:
-    """A response with its payload, or a revisit of an original without."""
+def record(page_id: int | None, url: str | None, digest: str, payload: bytes | None, date: str, original: int | None = None, original_url: str | None = None) -> bytes:
+    """A response with its payload, or a revisit of an original without; date: when the archives are written."""
     revisit = payload is None
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Target-URI: {_uri(url)}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Target-URI: {_uri(url)}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha256:{digest}"]
     head += [f"X-Page-Id: {page_id}"] if page_id is not None else []
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(original, digest)}", f"WARC-Refers-To-Target-URI: {_uri(original_url)}", f"WARC-Refers-To-Date: {DATE}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(original, digest)}", f"WARC-Refers-To-Target-URI: {_uri(original_url)}", f"WARC-Refers-To-Date: {date}"]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + (b"\r\n" if revisit else f"Content-Length: {len(payload)}\r\n\r\n".encode() + payload)
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -57,10 +59,16 @@ def record(page_id: int | None, url: str | None, digest: str, payload: bytes | N
 
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields, payload) of each record of a file with one gzip member per record."""
-    while raw:
-        member = zlib.decompressobj(31)
-        data, raw = member.decompress(raw) + member.flush(), member.unused_data
-        head, _, rest = data.partition(b"\r\n\r\n")
+    view, at = memoryview(raw), 0
+    while at < len(raw):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            if at >= len(raw):
+                raise ValueError("a WARC record ends early")
+            parts.append(member.decompress(view[at : at + FEED]))
+            at += min(FEED, len(raw) - at)
+        at -= len(member.unused_data)
+        head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if lines[0] != "WARC/1.1":
             raise ValueError("not a WARC record")
@@ -83,10 +91,11 @@ def write_archives(pages: DataFrame, work: Workspace, payload: str = "html", lea
     text = F.coalesce(F.col(payload), F.lit(""))
     pages = pages.select("page_id", "url", text.alias("payload"), F.sha2(text, 256).alias("digest"), F.octet_length(text).alias("payload_bytes"))
     again = work.save(revisits(pages, least), "revisits").withColumnRenamed("page_id", "r_page").withColumnRenamed("digest", "r_digest")
-    small = again.count() <= BROADCAST_KEYS // 4
+    n, url_bytes = again.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("original_url")), F.lit(0))).first()
+    small = n <= BROADCAST_KEYS // 4 and url_bytes <= URL_BYTES
     rows = pages.join(F.broadcast(again) if small else again, F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("digest") == F.col("r_digest")), "left")
     rows = rows.select("page_id", "url", "digest", "original", "original_url", F.col("r_digest").isNotNull().alias("revisit"), F.when(F.col("r_digest").isNull(), F.col("payload")).alias("payload"))
-    folder = f"{work.path}/archives"
+    folder, date = f"{work.path}/archives", datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -101,7 +110,7 @@ def write_archives(pages: DataFrame, work: Workspace, payload: str = "html", lea
         for batch in blocks(batches, "payload"):
             for page, url, digest, original, original_url, revisit, body in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 gz = zlib.compressobj(3, zlib.DEFLATED, 31)
-                held.append(gz.compress(record(page, url, digest, None if revisit else body.encode(), original, original_url)) + gz.flush())
+                held.append(gz.compress(record(page, url, digest, None if revisit else body.encode(), date, original, original_url)) + gz.flush())
                 size += len(held[-1])
             if size >= file_bytes:
                 yield flush()

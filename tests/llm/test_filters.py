@@ -109,6 +109,11 @@ def test_line_edges(spark, corpus, nothing):
     assert (1, None, 0, 0) in rows and (2, "", 0, 0) in rows and rows.count((6, "", 1, 1)) == 2
     assert (5, "Ünïcode wörds ß and  double  blanks\nnew line\n\nend ", 3, 0) in rows
     assert linededup.dedup_lines(nothing).count() == 0
+    clash = corpus.selectExpr("doc_id", "text", "1 AS doc", "2 AS dh", "3 AS entries", "4 AS n_lines", "5 AS n_removed", "6 AS raw", "7 AS at")
+    same = linededup.dedup_lines(clash)
+    assert same.columns == ["doc_id", "text", "doc", "dh", "entries", "raw", "at", "n_lines", "n_removed"]
+    assert sorted(str(r) for r in same.select("doc_id", "text", "n_lines", "n_removed").collect()) == sorted(str(r) for r in out.select("doc_id", "text", "n_lines", "n_removed").collect())
+    assert same.filter("doc = 1 and dh = 2 and entries = 3 and raw = 6 and at = 7").count() == corpus.count()
 
 
 def brute_hits(text, items, n=8):
@@ -144,6 +149,11 @@ def test_removed_spans(spark, corpus, nothing):
     assert out.columns == corpus.columns and 7 not in rows
     assert rows[0]["text"] == "The  and runs away" and rows[0]["n_chars"] == 18 and rows[1]["text"] is None
     assert rows[5]["text"].startswith("Ünïcode") and decontaminate.remove_hits(nothing, bench).count() == 0
+    own = decontaminate.remove_hits(corpus.selectExpr("*", "7 AS n_words", "'a' AS hit_items"), bench)
+    assert own.columns == [*corpus.columns, "n_words", "hit_items"] and own.filter("n_words = 7 and hit_items = 'a'").count() == own.count() == out.count()
+    unnamed = spark.createDataFrame([(None, "quick brown fox jumps over the lazy dog")], "item_id long, text string")
+    hit = {r["doc_id"]: r for r in decontaminate.scan_hits(corpus, unnamed).collect()}
+    assert len(hit[0]["hit_words"]) == 8 and hit[0]["hit_items"] == []
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.scan_hits(corpus, empty).filter(F.size("hit_items") > 0).count() == 0
 
