@@ -4,8 +4,12 @@ A text is made canonical by lower-casing, one spelling for equivalent ones, no c
 single spaces; its SHA-256 is looked up. A unit is the whole text of a document and each of its lines, each taken
 entire, so that a document that is a license and a license notice inside another document are both found.
 
-Defined results: null, empty or punctuation-only units match nothing. Repeated documents get equal results. The table
-of known texts is a parameter; texts that become equal are one entry, whose smallest license id counts.
+A copyright line begins with copyright, (c) or the sign, followed by a year, another of them or "by"; a line of the
+license's own text that happens to begin with the word stays. A notice of several lines inside a longer text is no unit.
+
+Defined results: null, empty or punctuation-only units match nothing. Each row of docs has a result of its own, and equal
+rows equal ones. The table of known texts is a parameter; texts that become equal are one entry, whose smallest license
+id counts.
 """
 
 from __future__ import annotations
@@ -43,14 +47,17 @@ KNOWN: list[tuple[str, str]] = [
 ]
 #: Equivalent spellings: (as written, as canonical), whole words, lower case.
 SPELLINGS = [("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("organisation", "organization"), ("behaviour", "behavior"), ("favour", "favor"), ("whilst", "while"), ("https", "http")]
+#: A copyright line in lower case, and punctuation beyond ASCII: blanks, angle and curly quotes, dashes, dots.
+NOTICE = "[^a-z0-9\\n]*(?:copyright|\\(c\\)|\u00a9)[ \\t]*(?:[:,][ \\t]*)?(?:copyright|\\(c\\)|\u00a9|by |(?:19|20)[0-9][0-9])[^\\n]*"
+MARKS = "\u00a0\u00ab\u00bb\u2010-\u2015\u2018-\u201f\u2026"
 #: Known digests that are broadcast (under 20 MB); beyond that the join shuffles the units' digests, no texts.
 MAX_KNOWN = 100_000
 
 
 def _lines(text: Column) -> Column:
-    """The canonical text, line by line: lower case, no copyright lines, one spelling, no punctuation. Patterns are ASCII."""
+    """The canonical text, line by line: lower case, no copyright lines, one spelling, no punctuation."""
     marked = lambda x: x.contains("copyright") | x.contains("(c)") | x.contains("\u00a9")
-    unsigned = lambda x: F.regexp_replace(x, "(?m)^[^a-z0-9\\n]*(copyright|\\(c\\)|\u00a9)[^\\n]*$", "")
+    unsigned = lambda x: F.regexp_replace(x, f"(?m)^{NOTICE}$", "")
 
     def spelled(x: Column) -> Column:
         for old, new in SPELLINGS:
@@ -59,7 +66,7 @@ def _lines(text: Column) -> Column:
 
     any_old = lambda x: reduce(or_, (x.contains(old) for old, _ in SPELLINGS))
     plain = let(F.lower(F.coalesce(text, F.lit(""))), lambda x: F.when(marked(x), unsigned(x)).otherwise(x))
-    plain = F.regexp_replace(plain, "[\\x00-\\x09\\x0b-\\x2f\\x3a-\\x60\\x7b-\\x7f]+", " ")
+    plain = F.regexp_replace(plain, f"[\\x00-\\x09\\x0b-\\x2f\\x3a-\\x60\\x7b-\\x7f{MARKS}]+", " ")
     return let(plain, lambda x: F.when(any_old(x), spelled(x)).otherwise(x))
 
 
@@ -76,25 +83,25 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = Non
 
 
 def license_hits(docs: DataFrame, known: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, unit, license_id) of each unit that is a known text; unit 0 is the whole text, i its i-th line."""
+    """(key, th: a hash of the text, unit, license_id) of each unit that is a known text; unit 0 is the whole text, i its i-th line."""
     n, low, high = known.agg(F.count("*"), F.min("size"), F.max("size")).first()
     known = F.broadcast(known) if n <= MAX_KNOWN else known
-    whole = docs.select(F.col(key), _lines(F.col(text)).alias("_x"))
+    whole = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("th"), _lines(F.col(f"`{text}`")).alias("_x"))
     units = F.concat(F.array(F.trim(F.regexp_replace("_x", "[ \n]+", " "))), F.transform(F.split("_x", "\n"), lambda u: F.trim(u)))
-    rows = whole.select(F.col(key), F.posexplode(units).alias("unit", "_u")).filter(F.length("_u").between(low or 0, high or 0))
-    return rows.select(F.col(key), "unit", F.sha2("_u", 256).alias("digest")).join(known, "digest").select(key, "unit", "license_id")
+    rows = whole.select("key", "th", F.posexplode(units).alias("unit", "_u")).filter(F.length("_u").between(low or 0, high or 0))
+    return rows.select("key", "th", "unit", F.sha2("_u", 256).alias("digest")).join(known, "digest").select("key", "th", "unit", "license_id")
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per key: n_hits, licenses (distinct ids, sorted), whole_license (of the entire text, else null)."""
+    """Per row of docs: key, n_hits (units), licenses (distinct ids, sorted), whole_license (of the entire text, else null)."""
     known = known_digests(docs.sparkSession) if known is None else known
-    hits = license_hits(docs, known, text, key).groupBy(key).agg(
-        F.count("*").alias("n_hits"),
+    hits = license_hits(docs, known, text, key).groupBy(F.col("key").alias("_k"), F.col("th").alias("_th")).agg(
+        F.count_distinct("unit").alias("n_hits"),
         F.array_sort(F.collect_set("license_id")).alias("licenses"),
         F.min(F.when(F.col("unit") == 0, F.col("license_id"))).alias("whole_license"),
     )
-    ids = docs.select(key).distinct()
-    found = ids.join(hits.withColumnRenamed(key, "_k"), F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
+    rows = docs.select(F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`")).alias("th"))
+    found = rows.join(hits, F.col(f"`{key}`").eqNullSafe(F.col("_k")) & (F.col("th") == F.col("_th")), "left").drop("_k", "_th", "th")
     return found.withColumns({"n_hits": F.coalesce("n_hits", F.lit(0)), "licenses": F.coalesce("licenses", F.array().cast("array<string>"))})
 
 
@@ -106,7 +113,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     q = lambda x: "'" + x.replace("'", "''") + "'"
     spell = "CASE w " + " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in SPELLINGS) + " ELSE w END"
-    line = "regexp_replace(regexp_replace(lower({}), '^[^a-z0-9]*(copyright|\\(c\\)|\u00a9).*$', ''), '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+', ' ', 'g')"
+    line = f"regexp_replace(regexp_replace(lower({{}}), '^{NOTICE}$', ''), '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f{MARKS}]+', ' ', 'g')"
     canon = f"list_aggregate(list_transform(list_filter(string_split({line}, ' '), lambda w: w <> ''), lambda w: {spell}), 'string_agg', ' ')"
     return f"""
 WITH known AS (SELECT {canon.format("t")} AS c, min(i) AS license_id FROM (VALUES {", ".join(f"({q(i)}, {q(t)})" for i, t in KNOWN)}) v(i, t) GROUP BY 1),
