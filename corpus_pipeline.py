@@ -26,8 +26,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand earlier in the corpus; those that had words and lose all of them go."""
-    out = dedup_lines(docs).filter("n_removed < n_lines or n_lines = 0")
-    return out.select(*(F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+    own = {c: f"_own_{c}" for c in docs.columns if c in ("n_lines", "n_removed")}
+    out = dedup_lines(docs.withColumnsRenamed(own)).filter("n_removed < n_lines or n_lines = 0")
+    new = {"n_chars": F.char_length("text").cast("long")} | {c: F.col(o) for c, o in own.items()}
+    return out.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
