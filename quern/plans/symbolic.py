@@ -26,7 +26,7 @@ def query(text: str | None = None):
 
 DEFS = "defs AS (SELECT p_brand || '/' || p_type AS name, CAST(p_partkey AS VARCHAR) AS file FROM part), allf AS (SELECT DISTINCT file FROM defs)"
 EDGES = "edges AS (SELECT DISTINCT CAST(a.l_partkey AS VARCHAR) AS src, CAST(b.l_partkey AS VARCHAR) AS dst FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey)"
-KNOWN = lambda lines: f"SELECT DISTINCT l_orderkey AS query_id, p_brand || '/' || p_type AS name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 20 = 0 AND {lines}"
+KNOWN = lambda lines: f"SELECT DISTINCT l_orderkey AS query_id, p_brand || '/' || p_type AS name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE {lines}"
 IDENTS = f"kn AS ({KNOWN('l_linenumber <= 2')}), ids AS (SELECT * FROM kn UNION ALL SELECT -o_orderkey, 'no/such name' FROM orders WHERE o_orderkey % 100 = 0 UNION ALL SELECT DISTINCT query_id, 'other/unknown' FROM kn WHERE query_id % 40 = 0)"
 BASE = [DEFS, EDGES, IDENTS]
 POOL = lambda low, high, ids="ids", p="": (
@@ -73,7 +73,7 @@ def import_graph_degrees(spark, sf):
     return V.edges(spark, sf).groupBy("src").agg(F.count("*").alias("n"))
 
 
-SEED = "sd AS (SELECT DISTINCT l_orderkey AS query_id, CAST(l_partkey AS VARCHAR) AS file FROM lineitem WHERE l_orderkey % 200 = 0 AND l_linenumber = 1)"
+SEED = "sd AS (SELECT DISTINCT l_orderkey AS query_id, CAST(l_partkey AS VARCHAR) AS file FROM lineitem WHERE l_linenumber = 1)"
 
 
 def _seed(spark, sf) -> DataFrame:

@@ -74,8 +74,8 @@ def db():
 
 @pytest.mark.parametrize("name", "identifier_lookup matched_unmatched candidate_pool pool_modes_large_minimum pool_members zero_candidate_rate fallback_conversion sample_categories pool_size_stats expand_1hop expand_khop".split())
 def test_symbolic_queries_take_all_orders(spark, db, name):
-    whole = ORACLES[name].replace("l_orderkey % 20 = 0 AND ", "").replace("l_orderkey % 200 = 0 AND ", "")
-    assert whole != ORACLES[name] and "l_orderkey %" not in whole
+    whole = ORACLES[name]
+    assert "l_orderkey %" not in whole
     got = QUERIES[name](spark, SF)
     cols = ", ".join(sorted(got.columns))
     assert found(got.select(*sorted(got.columns))) == sorted(db.sql(f"SELECT {cols} FROM ({whole})").fetchall())
