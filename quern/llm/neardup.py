@@ -240,15 +240,26 @@ def _narrowed(rows: DataFrame, percent: int, work: Workspace, label: str, tasks:
     near = near.withColumn("need2", _least(percent, F.col("r") + F.col("r2"))).withColumn("open", F.array_except("d", "skip")).filter(F.size("open") >= F.col("need"))
     fields = ["g", "u", "size", "d", "skip", "r", "component", "core", "need", "need2"]
     near = work.save(near.select(*fields, "open").coalesce(tasks), f"{label}-open")
-    items = near.select("g", "u", "need", F.explode("open").alias("x"))
+    items = near.select("g", "u", "core", "need", "need2", F.explode("open").alias("x"))
     often = work.save(items.groupBy("g", "x").agg(F.count("*").alias("f")).filter("f > 1").coalesce(tasks), f"{label}-often")
     often = F.broadcast(often) if often.count() <= BROADCAST_KEYS // 2 else often
-    rare = items.join(often, ["g", "x"]).groupBy("g", "u").agg(F.first("need").alias("need"), F.sort_array(F.collect_list(F.struct("f", "x"))).alias("order")).filter(F.size("order") >= F.col("need"))
-    first = rare.select("g", "u", F.size("order").alias("n_order"), F.slice("order.x", F.lit(1), F.size("order") - F.col("need") + 1).alias("first"))
-    rest = work.save(near.select(*fields).join(first, ["g", "u"]).coalesce(tasks), f"{label}-rest")
 
-    parts = rest.select("g", "u", "r", "component", "core", "need", "need2", "n_order", F.posexplode("first").alias("at", "x"))
-    parts = work.save(parts.withColumn("short", ~F.col("core") & (F.col("at") <= F.col("n_order") - F.col("need2"))).drop("n_order").coalesce(tasks), f"{label}-items")
+    def lists(rows: DataFrame, name: str) -> DataFrame:
+        """(g, u, first, use: (at, x, short) of those in first that a part may need) of items with held."""
+        rows = rows.groupBy("g", "u").agg(*(F.first(c).alias(c) for c in ("core", "need", "need2")), F.sort_array(F.collect_list(F.struct("f", "x", "held"))).alias("order")).filter(F.size("order") >= F.col("need"))
+        rows = rows.withColumn("order", F.slice("order", F.lit(1), F.size("order") - F.col("need") + 1)).withColumn("n_short", F.when(F.col("core"), 0).otherwise(F.size("order") + F.col("need") - F.col("need2")))
+        marked = F.transform("order", lambda e, i: F.struct(i.alias("at"), e["x"].alias("x"), (i < F.col("n_short")).alias("short"), e["held"].alias("held")))
+        return work.save(rows.select("g", "u", F.col("order.x").alias("first"), F.filter(marked, lambda e: e["short"] | e["held"]).alias("use")).coalesce(tasks), f"{label}-{name}")
+
+    # The core first: only its lists tell which differences beyond the shorter ones the rest can meet it in.
+    core = lists(items.filter("core").join(often, ["g", "x"]).withColumn("held", F.lit(True)), "core")
+    held = work.save(core.select("g", F.explode("first").alias("x")).distinct().withColumn("held", F.lit(True)).coalesce(tasks), f"{label}-held")
+    held = F.broadcast(held) if held.count() <= BROADCAST_KEYS // 2 else held
+    others = lists(items.filter("not core").join(often, ["g", "x"]).join(held, ["g", "x"], "left").withColumn("held", F.coalesce("held", F.lit(False))), "others")
+    rest = work.save(near.select(*fields).join(core.unionByName(others), ["g", "u"]).coalesce(tasks), f"{label}-rest")
+
+    parts = rest.select("g", "u", "r", "component", "core", "need", "need2", F.explode("use").alias("e")).select("g", "u", "r", "component", "core", "need", "need2", "e.at", "e.x", "e.short")
+    parts = work.save(parts.coalesce(tasks), f"{label}-items")
     short = F.when(F.col("short"), F.col("component"))
     sizes = parts.groupBy("g", "x").agg(F.count("*").alias("n"), F.count_if("core").alias("c"), F.count_if("short").alias("s"), F.min(short).alias("low"), F.max(short).alias("high"))
     sizes = sizes.filter("(c > 0 and n > c) or low < high").select("g", "x", "c", F.when(F.col("c") > 0, F.col("n")).otherwise(F.col("s")).alias("n")).coalesce(tasks)
