@@ -214,6 +214,32 @@ def _least(percent: int, r: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(r / (2.0 * (100 + percent)))).cast("int")
 
 
+def _pruned(rows: DataFrame, percent: int, work: Workspace, label: str, tasks: int) -> DataFrame:
+    """rows (g, u, r, core, side, order, ...) that may still be linked otherwise, with need and need2, the least numbers of
+    common differences with any member and with one of the rest, and order, the differences (f, x) that members of
+    another side have too, rarest first.
+
+    A member with fewer than it needs goes; the others lose its differences and need more without it, and so on. The
+    rounds end when one leaves nearly all members; more would change no link.
+    """
+    before, k = rows.count(), 0
+    while True:
+        least = rows.groupBy("g").agg(F.min(F.when(F.col("core"), F.col("r"))).alias("rc"), F.min(F.when(~F.col("core"), F.col("r"))).alias("r2")).filter("r2 is not null").coalesce(tasks)
+        now = _per_group(rows.drop("need", "need2"), least, work, f"{label}-least-{k}").withColumn("need2", _least(percent, F.col("r") + F.col("r2")))
+        now = now.withColumn("need", F.when(F.col("core"), F.col("need2")).otherwise(_least(percent, F.col("r") + F.least("rc", "r2")))).drop("rc", "r2")
+        now = work.save(now.filter(F.size("order") >= F.col("need")).coalesce(tasks), f"{label}-open-{k}")
+        items = now.select("g", "u", "side", F.explode("order.x").alias("x"))
+        often = items.groupBy("g", "x").agg(F.count("*").alias("f"), F.min("side").alias("low"), F.max("side").alias("high")).filter("low < high").select("g", "x", "f")
+        often = work.save(often.coalesce(tasks), f"{label}-often-{k}")
+        often = F.broadcast(often) if often.count() <= BROADCAST_KEYS // 2 else often
+        order = items.join(often, ["g", "x"]).groupBy("g", "u").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("order"))
+        rows = work.save(now.drop("order").join(order, ["g", "u"]).filter(F.size("order") >= F.col("need")).coalesce(tasks), f"{label}-pruned-{k}")
+        left = rows.count()
+        if left >= 0.9 * before or not left:
+            return rows
+        before, k = left, k + 1
+
+
 def _narrowed(rows: DataFrame, percent: int, work: Workspace, label: str, tasks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of large groups (g, u, size, d, skip, component, n): links with the member nearest to the reference set; the other
     members that may be linked (g, u, size, d, skip, first); and their parts, a row for each u and x in first.
@@ -234,29 +260,24 @@ def _narrowed(rows: DataFrame, percent: int, work: Workspace, label: str, tasks:
     linked = F.col("r") + F.col("best.r") <= 0
     links = work.save(near.filter(linked & (F.col("u") != F.col("best.u"))).select("u", F.col("best.u").alias("v")), f"{label}-nearest")
 
-    near = near.withColumn("core", linked | (F.col("component") == F.col("best.component")))
-    other = near.filter("not core").groupBy("g").agg(F.min("r").alias("r2")).coalesce(tasks)
-    near = _per_group(near, other, work, f"{label}-other").withColumn("need", _least(percent, F.col("r") + F.when(F.col("core"), F.col("r2")).otherwise(F.col("best.r"))))
-    near = near.withColumn("need2", _least(percent, F.col("r") + F.col("r2"))).withColumn("open", F.array_except("d", "skip")).filter(F.size("open") >= F.col("need"))
-    fields = ["g", "u", "size", "d", "skip", "r", "component", "core", "need", "need2"]
-    near = work.save(near.select(*fields, "open").coalesce(tasks), f"{label}-open")
-    items = near.select("g", "u", "core", "need", "need2", F.explode("open").alias("x"))
-    often = work.save(items.groupBy("g", "x").agg(F.count("*").alias("f")).filter("f > 1").coalesce(tasks), f"{label}-often")
-    often = F.broadcast(often) if often.count() <= BROADCAST_KEYS // 2 else often
+    near = near.withColumn("core", linked | (F.col("component") == F.col("best.component"))).withColumn("side", F.when(F.col("core"), F.col("best.component")).otherwise(F.col("component")))
+    near = near.withColumn("order", F.transform(F.array_except("d", "skip"), lambda x: F.struct(F.lit(0).cast("long").alias("f"), x.alias("x")))).drop("best")
+    near = _pruned(near, percent, work, label, tasks)
 
     def lists(rows: DataFrame, name: str) -> DataFrame:
-        """(g, u, first, use: (at, x, short) of those in first that a part may need) of items with held."""
-        rows = rows.groupBy("g", "u").agg(*(F.first(c).alias(c) for c in ("core", "need", "need2")), F.sort_array(F.collect_list(F.struct("f", "x", "held"))).alias("order")).filter(F.size("order") >= F.col("need"))
+        """(g, u, first, use: (at, x, short) of those in first that a part may need) of rows with an order of (f, x, held)."""
         rows = rows.withColumn("order", F.slice("order", F.lit(1), F.size("order") - F.col("need") + 1)).withColumn("n_short", F.when(F.col("core"), 0).otherwise(F.size("order") + F.col("need") - F.col("need2")))
         marked = F.transform("order", lambda e, i: F.struct(i.alias("at"), e["x"].alias("x"), (i < F.col("n_short")).alias("short"), e["held"].alias("held")))
         return work.save(rows.select("g", "u", F.col("order.x").alias("first"), F.filter(marked, lambda e: e["short"] | e["held"]).alias("use")).coalesce(tasks), f"{label}-{name}")
 
     # The core first: only its lists tell which differences beyond the shorter ones the rest can meet it in.
-    core = lists(items.filter("core").join(often, ["g", "x"]).withColumn("held", F.lit(True)), "core")
+    fields = ["g", "u", "core", "need", "need2"]
+    core = lists(near.filter("core").select(*fields, F.transform("order", lambda e: F.struct(e["f"].alias("f"), e["x"].alias("x"), F.lit(True).alias("held"))).alias("order")), "core")
     held = work.save(core.select("g", F.explode("first").alias("x")).distinct().withColumn("held", F.lit(True)).coalesce(tasks), f"{label}-held")
     held = F.broadcast(held) if held.count() <= BROADCAST_KEYS // 2 else held
-    others = lists(items.filter("not core").join(often, ["g", "x"]).join(held, ["g", "x"], "left").withColumn("held", F.coalesce("held", F.lit(False))), "others")
-    rest = work.save(near.select(*fields).join(core.unionByName(others), ["g", "u"]).coalesce(tasks), f"{label}-rest")
+    items = near.filter("not core").select(*fields, F.inline("order")).join(held, ["g", "x"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    others = items.groupBy("g", "u").agg(*(F.first(c).alias(c) for c in fields[2:]), F.sort_array(F.collect_list(F.struct("f", "x", "held"))).alias("order"))
+    rest = work.save(near.drop("order", "side").join(core.unionByName(lists(others, "others")), ["g", "u"]).coalesce(tasks), f"{label}-rest")
 
     parts = rest.select("g", "u", "r", "component", "core", "need", "need2", F.explode("use").alias("e")).select("g", "u", "r", "component", "core", "need", "need2", "e.at", "e.x", "e.short")
     parts = work.save(parts.coalesce(tasks), f"{label}-items")
