@@ -15,8 +15,9 @@
    if both are of those, so what remains are pairs with a common difference, (R(s) + R(c*)) / (2 (100 + t)) at least.
    As in prefix filtering, such a pair shares one of the rarest |D(s)| - that + 1 of s's differences (those that others
    have too), and likewise of c's. Documents with a difference in common there form a group again, which
-   is kept only while it has several components. Groups of at most PAIRED members are compared pair by pair, on differences.
-   Larger ones get a reference set of their own, in which the common difference is no difference any more. So a template
+   is kept only while it has several components. A group of at most DENSE members, within bounds of memory and work, is
+   compared in one worker by products of its incidence matrix and emits a row for each member at most; of others, those of
+   at most PAIRED members are compared pair by pair. Larger ones get a reference set of their own, in which the common difference is no difference any more. So a template
    filled in thousands of ways, or thousands of near copies, cost a row for each document and rare difference,
    and no link between two documents of a bucket is lost.
 5. Components are closed by alternating large-star and small-star.
@@ -49,6 +50,8 @@ BANDS, ROWS, ORDERS, TRIES = 44, 5, 2, 2
 TASK_MEMBERS, MEMBER_TASKS = 1000, 6
 #: Members of a group that is compared pair by pair.
 PAIRED = 12
+#: Members, differences and multiplications of a group that one worker compares, and cells of its matrix held at once.
+DENSE, DENSE_ITEMS, DENSE_WORK, DENSE_CELLS = 512, 1 << 21, 1 << 35, 1 << 21
 #: Numbers from here on stand for rows without an id, or with one that has other texts too.
 UNNAMED = 1 << 62
 def shingle_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,12 +193,47 @@ def _per_group(rows: DataFrame, groups: DataFrame, work: Workspace, name: str, h
 
 
 def _divided(rows: DataFrame, found: DataFrame, work: Workspace, label: str, tasks: int) -> DataFrame:
-    """rows (g, u, ...) of groups that hold several components, with component and n, the members of the group."""
+    """rows (g, u, d, ...) of groups that hold several components, with component, n, the members of the group, and total,
+    their differences."""
     rows = rows.join(found.coalesce(tasks), F.col("u") == F.col("node"), "left").withColumn("component", F.coalesce("component", "u")).drop("node").coalesce(tasks)
-    groups = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("g", "n").coalesce(tasks)
+    groups = rows.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.size("d").cast("long")).alias("total"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("g", "n", "total").coalesce(tasks)
     return _per_group(rows, groups, work, f"{label}-groups").coalesce(tasks)
 
 
+def _dense(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that connect what is linked within each group: rows (g, u, size, d) of groups of bounded size."""
+
+    def run(group: pa.Table) -> pa.Table:
+        u, size, d = group["u"].to_numpy(), group["size"].to_numpy(), group["d"].combine_chunks()
+        many, n = d.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), len(u)
+        x, at = np.unique(d.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        member, shared = np.repeat(np.arange(n), many), np.bincount(at, minlength=len(x)) > 1
+        column, own = np.cumsum(shared) - 1, shared[at]
+        member, column = member[own], column[at[own]]
+        order = np.argsort(column, kind="stable")
+        member, column = member[order], column[order]
+        common, step = np.zeros((n, n)), DENSE_CELLS // n
+        items = int(shared.sum())
+        for low in range(0, items, step):
+            a, b = np.searchsorted(column, [low, low + step])
+            held = np.zeros((n, min(step, items - low)), np.float32)
+            held[member[a:b], column[a:b] - low] = 1
+            common += held @ held.T
+        r = (100 + percent) * many - (100 - percent) * size
+        linked = 2 * (100 + percent) * common >= r[:, None] + r[None, :]
+        np.fill_diagonal(linked, True)
+        label = np.arange(n)
+        while True:
+            least = np.where(linked, label[None, :], n).min(1)
+            if (least == label).all():
+                break
+            label = least
+        apart = label != np.arange(n)
+        return pa.table({"u": u[apart], "v": u[label[apart]]})
+
+    return rows.select("g", "u", "size", "d").groupBy("g").applyInArrow(run, "u long, v long")
+
+
 def _paired(rows: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between the members of small groups: rows (g, u, size, d, component)."""
     rows = rows.withColumn("r", _r(percent, F.col("d"), F.col("size")))
@@ -220,7 +258,7 @@ def _pruned(rows: DataFrame, percent: int, work: Workspace, label: str, tasks: i
     another side have too, rarest first.
 
     A member with fewer than it needs goes; the others lose its differences and need more without it, and so on. The
-    rounds end when one leaves nearly all members; more would change no link.
+    rounds end when one leaves most members; more would change no link.
     """
     before, k = rows.count(), 0
     while True:
@@ -235,7 +273,7 @@ def _pruned(rows: DataFrame, percent: int, work: Workspace, label: str, tasks: i
         order = items.join(often, ["g", "x"]).groupBy("g", "u").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("order"))
         rows = work.save(now.drop("order").join(order, ["g", "u"]).filter(F.size("order") >= F.col("need")).coalesce(tasks), f"{label}-pruned-{k}")
         left = rows.count()
-        if left >= 0.9 * before or not left:
+        if left >= 0.5 * before or not left:
             return rows
         before, k = left, k + 1
 
@@ -309,10 +347,12 @@ def near_links(members: DataFrame, ids: DataFrame, links: DataFrame, texts: Data
     pairs = _groups(members, found, ids, work, tasks)
     rows = work.save(_differences(pairs, texts, n, tasks).select(F.col("v").alias("g"), "u", "size", "d", F.array().cast("array<long>").alias("skip")), "differences")
     live = work.save(_divided(rows, found, work, "groups-0", tasks), "live-0")
-    links = work.save(_paired(live.filter(F.col("n") <= PAIRED), percent).distinct().coalesce(tasks), "paired")
+    dense = (F.col("n") <= DENSE) & (F.col("total") <= DENSE_ITEMS) & (F.col("n") * F.col("n") * F.col("total") <= DENSE_WORK)
+    links = work.save(_paired(live.filter(~dense & (F.col("n") <= PAIRED)), percent).distinct().coalesce(tasks), "paired")
     k = 0
     while True:
-        live = live.filter(F.col("n") > PAIRED)
+        links = links.unionByName(work.save(_dense(live.filter(dense), percent).distinct().coalesce(tasks), f"dense-{k}"))
+        live = live.filter(~dense & (F.col("n") > PAIRED))
         large = live.limit(1).count() > 0
         if large:
             label = f"level-{k}"

@@ -110,12 +110,30 @@ def test_filled_templates_equal_brute_force(spark, own, monkeypatch):
     """Around the threshold: with 4 own words some are linked, with 5 few, though all share buckets."""
     docs = template(random.Random(own), 160, own=own)
     monkeypatch.setattr(neardup, "PAIRED", 4)
+    monkeypatch.setattr(neardup, "DENSE", 0)
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), n=2).collect()}
     assert got == brute_near(docs, 2, 80)[0]
 
 
+@pytest.mark.parametrize("most,cells", [(512, 1 << 21), (40, 1 << 10)])
+def test_filled_templates_in_matrices_equal_brute_force(spark, most, cells, monkeypatch):
+    """A group beyond the bound is narrowed first; its parts, and groups within the bound, are compared as matrices."""
+    docs = template(random.Random(9), 240, own=4) + [(1000 + d, t.replace("t", "s")) for d, t in template(random.Random(10), 30, own=4)]
+    monkeypatch.setattr(neardup, "DENSE", most)
+    monkeypatch.setattr(neardup, "DENSE_CELLS", cells)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), n=2).collect()}
+    assert got == brute_near(docs, 2, 80)[0]
+
+
+def test_matrices_emit_a_row_for_each_member_at_most(spark):
+    """Members 0 to 299 are all alike, 300 to 309 differ from all in more than their one common difference."""
+    rows = [(7, u, 100, [1, 2, 3]) for u in range(300)] + [(7, u, 10, [1, *range(u * 100, u * 100 + 40)]) for u in range(300, 310)]
+    got = neardup._dense(spark.createDataFrame(rows, "g long, u long, size long, d array<long>"), 80).collect()
+    assert len(got) == 299 and {r["u"] for r in got} | {r["v"] for r in got} == set(range(300))
+
+
 def test_filled_templates_are_not_paired_off(spark, monkeypatch):
-    """Compared pairs stay under a bound for each document; all pairs would be 19900 and 319600."""
+    """Compared pairs of groups beyond matrices stay under a bound for each document; all pairs would be 19900 and 319600."""
     seen, paired, parted = [], neardup._paired, neardup._paired_parts
     pairs = lambda rows, *by: rows.groupBy(*by).count().selectExpr("coalesce(sum(count * (count - 1) / 2), 0)").first()[0]
 
@@ -127,6 +145,7 @@ def test_filled_templates_are_not_paired_off(spark, monkeypatch):
         seen[-1] += pairs(parts.filter(parts.n <= neardup.PAIRED), "g", "x")
         return parted(parts, *rest)
 
+    monkeypatch.setattr(neardup, "DENSE", 0)
     monkeypatch.setattr(neardup, "_paired", in_groups)
     monkeypatch.setattr(neardup, "_paired_parts", in_parts)
     for n in (200, 800):
