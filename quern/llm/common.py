@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one 8-byte key that may be broadcast (about 16 MB once hashed); beyond it the join shuffles.
 BROADCAST_KEYS = 500_000
+#: Shuffle partitions that one task of a small table reads: each holds the memory of its sorts and maps until the task ends.
+MERGED = 8
 #: Space, and tab to carriage return: what separates words.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -27,6 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def few_tasks(spark: SparkSession, wanted: int) -> int:
+    """Tasks for a small table: as many as wanted, and more where that would read over MERGED shuffle partitions each."""
+    return max(wanted, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // MERGED))
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete folders on any file system that Spark knows."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

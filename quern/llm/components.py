@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import Workspace
-
+from quern.llm.common import Workspace, few_tasks
 
 #: Edges of a task, and tasks for few edges: small graphs don't need a task for each shuffle partition.
 TASK_EDGES, EDGE_TASKS = 20_000, 6
@@ -40,7 +39,7 @@ def components(edges: DataFrame, work: Workspace, label: str = "components") ->
     state, k = _state(now), 0
     while state[0]:
         k += 1
-        tasks = EDGE_TASKS + state[0] // TASK_EDGES
+        tasks = few_tasks(work.spark, EDGE_TASKS + state[0] // TASK_EDGES)
         after = work.save(_small_star(_large_star(now, tasks), tasks), f"{label}-{k}")
         new = _state(after)
         work.drop(f"{label}-{k - 1}")

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import BROADCAST_KEYS, Workspace
+from quern.llm.common import BROADCAST_KEYS, Workspace, few_tasks
 from quern.llm.components import components
 from quern.llm.words import U64, Words, blocks, mix, scan
 
@@ -54,6 +54,8 @@ PAIRED = 12
 DENSE, DENSE_ITEMS, DENSE_WORK, DENSE_CELLS = 512, 1 << 21, 1 << 35, 1 << 21
 #: Numbers from here on stand for rows without an id, or with one that has other texts too.
 UNNAMED = 1 << 62
+
+
 def shingle_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram hashes, ascending within each row, and where each row's begin."""
     h, rows = w.hashes(), len(w.first) - 1
@@ -404,7 +406,7 @@ def classes(docs: DataFrame, n: int, percent: int, bands: int, rows: int, key: s
     ids = work.save(members.groupBy("doc_id").agg(F.sum("n").alias("weight")), "ids")
     n_ids = ids.count()
     near = F.broadcast(ids.select("doc_id")) if n_ids <= BROADCAST_KEYS else ids.select("doc_id")
-    tasks = MEMBER_TASKS + n_ids // TASK_MEMBERS
+    tasks = few_tasks(work.spark, MEMBER_TASKS + n_ids // TASK_MEMBERS)
     texts = _named(_plain(docs, key, text), repeated).select(F.col("node").alias("doc_id"), "text").join(near, "doc_id", "left_semi")
     texts = work.save(texts.dropDuplicates(["doc_id"]) if many else texts, "texts")
     sigs = reps.join(near, "doc_id", "left_semi").select("doc_id", "sig")
