@@ -97,3 +97,92 @@ def test_chunk_headers_keep_whole_texts(spark):
     assert any(len(t) > 6000 for _, _, t in docs)
     want = [(i, hashlib.md5(f"# File: {s}\n\n{t}".encode()).hexdigest()) for i, s, t in docs]
     assert found(QUERIES["chunk_headers"](spark, SF).select("doc_id", "h")) == sorted(want)
+
+
+def shuffled(spark, df) -> tuple[list[tuple], int]:
+    """Rows of df, and how many rows were shuffled for them."""
+    sc = spark.sparkContext
+
+    def written() -> int:
+        empty = sc._jvm.java.util.ArrayList
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(empty(), False, False, sc._gateway.new_array(sc._jvm.double, 0), empty())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    rows = found(df)
+    return rows, written() - before
+
+
+@pytest.fixture(scope="module")
+def wide(spark):
+    """400 queries of one name of 500 files, and one of an unknown name."""
+    idents = spark.range(400).select(F.col("id").alias("query_id"), F.lit("w").alias("name")).union(spark.createDataFrame([(-1, "none")], "query_id long, name string"))
+    defs = spark.range(500).select(F.lit("w").alias("name"), F.concat(F.lit("f"), "id").alias("file"))
+    return idents, defs, defs.select(F.col("file").alias("src"), F.lit("x").alias("dst"))
+
+
+def test_lookup_deals_out_a_frequent_name(spark, wide):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = symbols.lookup(*wide[:2])
+        assert pairs.select(F.spark_partition_id()).distinct().count() == 4
+        assert found(pairs) == sorted((q, "w", f"f{i}") for q in range(400) for i in range(500))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pool_modes_do_not_list_members(spark, wide):
+    idents, defs, edges = wide
+    rows, n = shuffled(spark, symbols.candidate_pool(idents, idents, defs, edges, defs.select("file"))[0])
+    assert rows == [(-1, "fallback_full", 0, 0), *((q, "primary", 500, 0) for q in range(400))] and n < 20_000
+
+
+def test_pool_members_are_not_shuffled(spark, wide):
+    idents, defs, edges = wide
+    rows, n = shuffled(spark, symbols.candidate_pool(idents, idents, defs, edges, defs.select("file"))[1])
+    assert rows == sorted((q, f"f{i}") for q in range(-1, 400) for i in range(500)) and n < 20_000
+
+
+def test_pool_counts_a_file_of_two_names_once(spark, monkeypatch):
+    monkeypatch.setattr(symbols, "FILE_ROWS", 2)  # three blocks
+    idents = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (3, None), (4, "a"), (None, "a")], "query_id long, name string")
+    defs = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "2"), ("b", "3"), ("b", "3"), ("c", "4"), (None, "5")], "name string, file string")
+    edges = spark.createDataFrame([("1", "9"), ("9", "8")], "src string, dst string")
+    for least, most in ((2, 2), (1, 9), (9, 9)):
+        modes, members = symbols.candidate_pool(idents, idents, defs, edges, defs.select("file"), least, most)
+        pools = {1: {"1", "2", "3"}, 2: {"2", "3"}, 3: set(), 4: {"1", "2"}, None: set()}
+        near = {q: p | ({"9"} if "1" in p else set()) for q, p in pools.items()}
+        want = {}
+        for q, p in pools.items():
+            mode = "fallback_full" if not p else "primary" if len(near[q]) > most else "fallback_full" if len(near[q]) < least else "extended"
+            want[q] = (mode, p if mode == "primary" else near[q] if mode == "extended" else {"1", "2", "3", "4", "5"})
+        assert {r["query_id"]: (r["mode"], r["primary_count"]) for r in modes.collect()} == {q: (m, len(pools[q])) for q, (m, _) in want.items()}
+        assert sorted(map(str, (tuple(r) for r in members.collect()))) == sorted(str((q, f)) for q, (_, fs) in want.items() for f in fs)
+
+
+def test_expand_does_not_shuffle_what_queries_reach(spark):
+    seed = spark.range(300).select(F.col("id").alias("query_id"), F.lit("s").alias("file"))
+    edges = spark.createDataFrame([("s", "m")], "src string, dst string").union(spark.range(400).select(F.lit("m"), F.col("id").cast("string")))
+    rows, n = shuffled(spark, symbols.expand(seed, edges, 2).groupBy().agg(F.count("*"), F.sum("depth")))
+    assert rows == [(300 * 402, 300 * 801)] and n < 5_000
+
+
+def test_expand_unites_the_files_of_a_query(spark, monkeypatch):
+    """Queries of one, a few and many files against a plain search, with cycles, repeated rows and a file of no edges."""
+    monkeypatch.setattr(symbols, "UNITED", 3)
+    links = {(a, (a * a + k) % 23) for a in range(20) for k in (1, 2)}
+    seeds = {(q, (q * 7 + i * 3) % 23) for q in range(12) for i in range(q % 6 + 1)}
+    edges = spark.createDataFrame([(str(a), str(b)) for a, b in links] * 2, "src string, dst string")
+    seed = spark.createDataFrame([(q, str(f)) for q, f in seeds] * 2, "query_id long, file string")
+    for hops in (0, 1, 2, 3):
+        want = {}
+        for q, f in seeds:
+            reach = {f: 0}
+            for k in range(1, hops + 1):
+                for a, b in links:
+                    if reach.get(a) == k - 1:
+                        reach.setdefault(b, k)
+            for x, d in reach.items():
+                want[q, str(x)] = min(d, want.get((q, str(x)), d))
+        assert found(symbols.expand(seed, edges, hops)) == sorted((*k, d) for k, d in want.items())
