@@ -186,3 +186,11 @@ def test_expand_unites_the_files_of_a_query(spark, monkeypatch):
             for x, d in reach.items():
                 want[q, str(x)] = min(d, want.get((q, str(x)), d))
         assert found(symbols.expand(seed, edges, hops)) == sorted((*k, d) for k, d in want.items())
+
+
+def test_import_edges_do_not_gather_pairs(spark):
+    """Repeated rows on both sides, and a stem of many modules and files, whose pairs are not shuffled."""
+    imports = spark.range(400).select(F.concat(F.lit("m/"), F.col("id") % 200, F.lit(".py")).alias("path"), F.concat(F.lit("a"), F.col("id") % 3, F.lit(".x")).alias("name"))
+    files = spark.range(200).select(F.concat(F.lit("lib/"), F.col("id") % 100, F.lit("/x.py")).alias("path"))
+    rows, n = shuffled(spark, symbols.import_edges(imports, files))
+    assert rows == sorted((f"m/{a}.py", f"lib/{b}/x.py") for a in range(200) for b in range(100)) and n < 2_000
