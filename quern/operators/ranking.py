@@ -49,12 +49,24 @@ def scaled(scores: DataFrame, name: str) -> DataFrame:
     return scores.select("query_id", "file_id", min_max(F.col("score"), F.min("score").over(w), F.max("score").over(w)).alias(name))
 
 
+def by_level(parts: dict[str, DataFrame]) -> DataFrame:
+    """(query_id, file_id, a column per level): the best score of each, null where a level lacks the file.
+
+    Levels (query_id, file_id, score) may have several rows a file. They are dealt out by query once, and what follows for
+    a query's files (ranges, ranks) stays there.
+    """
+    rows = reduce(DataFrame.unionByName, (df.select("query_id", "file_id", F.lit(i).cast("byte").alias("level"), "score") for i, df in enumerate(parts.values())))
+    best = (F.max(F.when(F.col("level") == i, F.col("score"))).alias(name) for i, name in enumerate(parts))
+    return rows.repartition("query_id").groupBy("query_id", "file_id").agg(*best)
+
+
 def fused(parts: dict[str, DataFrame], how: str = "sum", weight: float = 0.25) -> DataFrame:
-    """Scaled scores of several levels as one: weighted sum or maximum."""
-    both = reduce(lambda a, b: a.join(b, ["query_id", "file_id"]), (scaled(df, name) for name, df in parts.items()))
+    """Scores of several levels, each scaled on a query's range, as one: weighted sum or maximum; of files that all levels have."""
+    w = Window.partitionBy("query_id")
+    both = by_level(parts).select("query_id", "file_id", *(min_max(F.col(n), F.min(n).over(w), F.max(n).over(w)).alias(n) for n in parts), reduce(lambda a, b: a & b, (F.col(n).isNotNull() for n in parts)).alias("_all"))
     cols = [F.col(n) for n in parts]
     score = F.greatest(*cols) if how == "max" else reduce(lambda a, b: a + b, (c * weight for c in cols))
-    return both.select("query_id", "file_id", score.alias("score"))
+    return both.filter("_all").select("query_id", "file_id", score.alias("score"))
 
 
 def routed(parts: dict[str, DataFrame], routes: DataFrame) -> DataFrame:
@@ -72,9 +84,10 @@ def scaled_with_missing(scores: DataFrame, grid: DataFrame, name: str) -> DataFr
 
 
 def composite(levels: dict[str, DataFrame]) -> DataFrame:
-    """Mean of scaled levels over all files that any level has."""
-    grid = reduce(DataFrame.unionByName, (df.select("query_id", "file_id") for df in levels.values())).distinct()
-    both = reduce(lambda a, b: a.join(b, ["query_id", "file_id"]), (scaled_with_missing(df, grid, n) for n, df in levels.items()))
+    """Mean of levels, each scaled on a query's range, over all files that any level has: a missing file has 0 in a level, and where fewer than two are present all have 0.5."""
+    w = Window.partitionBy("query_id")
+    scaled = lambda n: F.when(F.count(n).over(w) < 2, F.lit(0.5)).when(F.col(n).isNull(), F.lit(0.0)).otherwise(min_max(F.col(n), F.min(n).over(w), F.max(n).over(w)))
+    both = by_level(levels).select("query_id", "file_id", *(scaled(n).alias(n) for n in levels))
     return both.select("query_id", "file_id", (reduce(lambda a, b: a + b, (F.col(n) for n in levels)) / len(levels)).alias("score"))
 
 

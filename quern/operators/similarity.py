@@ -20,6 +20,8 @@ from quern.functions.vectors import orthogonal
 
 #: Query tokens of one broadcast, and similarities that are held at once.
 BLOCK_TOKENS, BLOCK_CELLS = 50_000, 4_000_000
+#: Best files that a task holds before it sorts the worse ones out, and rows of one Arrow batch that it emits.
+HELD_CELLS, EMITTED = 1_000_000, 100_000
 #: Methods: heads, is the pooling over query tokens a mean, are tokens pooled before.
 METHODS: dict[str, dict] = {
     "pooled": {"pooled": True},
@@ -88,9 +90,11 @@ def query_blocks(queries: DataFrame, size: int = BLOCK_TOKENS) -> Iterator[list]
     yield rows
 
 
-def chunk_scores(chunks: DataFrame, queries: DataFrame, method: str = "maxsim", k: int | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def chunk_scores(chunks: DataFrame, queries: DataFrame, method: str = "maxsim", k: int | None = None, block_tokens: int = BLOCK_TOKENS, by_file: bool = False) -> DataFrame:
     """(query_id, file_id, chunk_id, score): with k, only the best chunk of files that may be among a query's best k.
 
+    by_file: of chunks of a file that a task meets together only the best, for results that take the best of a file.
+
     chunks: (file_id, chunk_id, tokens[, repo]); queries: (query_id, tokens[, repo]). Queries with a repository meet only
     its chunks.
     """
@@ -102,18 +106,65 @@ def chunk_scores(chunks: DataFrame, queries: DataFrame, method: str = "maxsim",
     for rows in query_blocks(queries, block_tokens):
         if rows:
             shared = spark.sparkContext.broadcast(Block(rows, **METHODS[method]))
-            parts.append(kept.mapInArrow(_kernel(shared, k), schema))
+            parts.append(kept.mapInArrow(_kernel(shared, k, by_file), schema))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
-def _kernel(shared, k: int | None):
+def _best_chunks(scores: np.ndarray, files: np.ndarray, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes of files, best scores, their chunks) of (queries, chunks) scores: of equal scores the least chunk."""
+    order = np.lexsort((chunks, files))
+    files, chunks, scores = files[order], chunks[order], scores[:, order]
+    begin = np.flatnonzero(np.r_[True, files[1:] != files[:-1]])
+    if len(begin) == len(files):
+        return files, scores, np.broadcast_to(chunks, scores.shape)
+    best = np.maximum.reduceat(scores, begin, axis=1)
+    at = np.where(scores == np.repeat(best, np.diff(np.r_[begin, len(files)]), axis=1), np.arange(len(files)), len(files) - 1)
+    return files[begin], best, chunks[np.minimum.reduceat(at, begin, axis=1)]
+
+
+class _Best:
+    """The best k files of each query and all that tie with the last when rounded as ranks are, in flat arrays."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k, self.least, self.size = n, k, np.full(n, -np.inf), 0
+        self.parts: list[tuple] = []
+
+    def add(self, files: np.ndarray, scores: np.ndarray, chunks: np.ndarray, meets: np.ndarray | None) -> None:
+        kept = ~(scores < self.least[:, None])
+        row, col = np.nonzero(kept if meets is None else kept & meets)
+        if len(row):
+            self.parts.append((row, files[col], scores[row, col], chunks[row, col]))
+            self.size += len(row)
+            if self.size > HELD_CELLS:
+                self.compact()
+
+    def compact(self) -> tuple:
+        row, file, score, chunk = (np.concatenate(x) for x in zip(*self.parts))
+        key = np.where(np.isnan(score), np.inf, score)
+        order = np.lexsort((chunk, -key, file, row))
+        first = np.r_[True, (row[order][1:] != row[order][:-1]) | (file[order][1:] != file[order][:-1])]
+        order = order[first]
+        order = order[np.lexsort((-key[order], row[order]))]
+        begin = np.searchsorted(row[order], np.arange(self.n + 1))
+        full = np.flatnonzero(np.diff(begin) >= self.k)
+        self.least[full] = np.round(key[order][begin[full] + self.k - 1], 6) - 1e-6
+        order = order[~(key[order] < self.least[row[order]])]
+        self.parts = [(row[order], file[order], score[order], chunk[order])]
+        self.size = len(order) if len(order) < HELD_CELLS // 2 else 0  # many ties: as much again before the next time
+        return self.parts[0]
+
+
+def _kernel(shared, k: int | None, by_file: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Block = shared.value
-        best: list[dict] = [{} for _ in block.ids]
+        ids, n = pa.array(block.ids), len(block.ids)
+        own = np.array([r is not None for r in block.repos])
+        best, names, codes, of_file = _Best(n, k) if k is not None else None, [], {}, {}
 
-        def emit(rows: list[tuple]) -> pa.RecordBatch:
-            ids, files, chunks, scores = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(files, pa.string()), pa.array(chunks, pa.int64()), pa.array(scores, pa.float64())], ["query_id", "file_id", "chunk_id", "score"])
+        def emit(row, files, chunks, scores) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(row), EMITTED):
+                cut = slice(at, at + EMITTED)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[cut])), pa.array(files(cut), pa.string()), pa.array(chunks[cut], pa.int64()), pa.array(scores[cut], pa.float64())], ["query_id", "file_id", "chunk_id", "score"])
 
         for batch in batches:
             step = max(1, min(batch.num_rows, BLOCK_CELLS // max(1, len(block.q[0]) * 64)))
@@ -121,36 +172,36 @@ def _kernel(shared, k: int | None):
                 part = batch.slice(at, step)
                 tokens, begin = nested(part.column(2))
                 scores = block.scores(tokens, begin)
-                files, chunk_ids = part.column(0).to_pylist(), part.column(1).to_pylist()
-                repos = part.column(3).to_pylist() if part.num_columns > 3 else None
-                out = []
-                for i, (query, repo) in enumerate(zip(block.ids, block.repos)):
-                    for f, c, s, r in zip(files, chunk_ids, scores[i].tolist(), repos or [None] * len(files)):
-                        if repo is not None and repos and r != repo:
-                            continue
-                        if k is None:
-                            out.append((query, f, c, s))
-                        elif f not in best[i] or (s, -c) > (best[i][f][0], -best[i][f][1]):
-                            best[i][f] = (s, c)
-                    if k is not None and len(best[i]) > 4 * k + 1000:
-                        best[i] = dict(_top(best[i], k))
-                if out:
-                    yield emit(out)
-        if k is not None and any(best):
-            yield emit([(q, f, c, s) for q, found in zip(block.ids, best) for f, (s, c) in _top(found, k)])
+                files, chunks = part.column(0).to_pylist(), part.column(1).to_numpy(zero_copy_only=False)
+                repos = part.column(3).to_pylist() if part.num_columns > 3 else [None] * len(files)
+                if best is None:
+                    codes, names = {}, []
+                for key in zip(files, repos):
+                    if key not in codes:
+                        codes[key] = len(names)
+                        names.append(key)
+                code = np.array([codes[key] for key in zip(files, repos)])
+                if best is not None or by_file:
+                    code, scores, chunks = _best_chunks(scores, code, chunks)
+                else:
+                    chunks = np.broadcast_to(chunks, scores.shape)
+                meets = None
+                if part.num_columns > 3 and own.any():
+                    meets = np.array([[r is None or r == names[c][1] for c in code] for r in block.repos])
+                if best is not None:
+                    best.add(np.array([of_file.setdefault(names[c][0], len(of_file)) for c in code]), scores, chunks, meets)
+                    continue
+                row, col = np.nonzero(np.ones(scores.shape, bool) if meets is None else meets)
+                texts = pa.array([names[c][0] for c in code], pa.string())
+                yield from emit(row, lambda cut: texts.take(pa.array(col[cut])), chunks[row, col], scores[row, col])  # noqa: B023
+        if best is not None and best.parts:
+            row, file, score, chunk = best.compact()
+            texts = list(of_file)
+            yield from emit(row, lambda cut: [texts[c] for c in file[cut]], chunk, score)
 
     return run
 
 
-def _top(found: dict, k: int) -> list:
-    """The best k files and all that tie with the last when rounded as ranks are."""
-    if len(found) <= k:
-        return list(found.items())
-    ranked = sorted(found.items(), key=lambda x: -x[1][0])
-    least = round(ranked[k - 1][1][0], 6) - 1e-6
-    return [x for x in ranked if x[1][0] >= least]
-
-
 def pooled_vectors(chunks: DataFrame, by: list[str]) -> DataFrame:
     """(by, vec, n): the token-weighted mean of all tokens with the same by; each task adds up its own first."""
     schema = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in by) + ", total array<double>, n long"
@@ -185,9 +236,10 @@ def segments(chunks: DataFrame, window: int = 256, stride: int = 128) -> DataFra
     return rows.select("file_id", "chunk_id", "start", end.alias("end"), F.slice("tokens", F.col("start") + 1, F.lit(window)).alias("tokens"))
 
 
-def segment_scores(chunks: DataFrame, queries: DataFrame, window: int = 256, stride: int = 128) -> DataFrame:
-    """Pooled cosine with the best segment of each file; a file without segments scores -1e30."""
+def segment_scores(chunks: DataFrame, queries: DataFrame, window: int = 256, stride: int = 128, best: bool = True) -> DataFrame:
+    """Pooled cosine with the best segment of each file; a file without segments scores -1e30. Not best: a file may have several rows."""
     parts = segments(chunks, window, stride).select("file_id", F.col("start").cast("long").alias("chunk_id"), "tokens")
-    found = chunk_scores(parts, queries, "pooled").groupBy("query_id", "file_id").agg(F.max("score").alias("score"))
+    found = chunk_scores(parts, queries, "pooled", by_file=True).select("query_id", "file_id", "score")
+    found = found.groupBy("query_id", "file_id").agg(F.max("score").alias("score")) if best else found
     every = queries.select("query_id").distinct().join(F.broadcast(chunks.select("file_id").distinct().filter("file_id is not null")), how="inner", on=F.lit(True)) if chunks.filter(F.size("tokens") <= 0).limit(1).count() else None
     return found if every is None else every.join(found, ["query_id", "file_id"], "left").fillna(-1e30, ["score"])

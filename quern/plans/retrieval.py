@@ -65,9 +65,16 @@ def file_scores(spark, sf) -> DataFrame:
     return chunk_scores(rows, V.query_tokens(spark, sf), "pooled").select("query_id", "file_id", "score")
 
 
+def level_rows(spark, sf) -> dict[str, DataFrame]:
+    """Scores of all levels, of which a file may have several rows: what takes the best of a file gathers them itself."""
+    chunks, q = V.file_chunks(spark, sf), V.query_tokens(spark, sf)
+    every = lambda m: chunk_scores(chunks, q, m, by_file=True)
+    return {"g0": file_scores(spark, sf), "g1": every("pooled"), "g2": segment_scores(chunks, q, 4, 2, best=False), "g3": every("maxsim")}
+
+
 def level_scores(spark, sf) -> dict[str, DataFrame]:
     chunks, q = V.file_chunks(spark, sf), V.query_tokens(spark, sf)
-    best = lambda m: ranking.best_per_file(chunk_scores(chunks, q, m))
+    best = lambda m: ranking.best_per_file(chunk_scores(chunks, q, m, by_file=True))
     return {"g0": file_scores(spark, sf), "g1": best("pooled"), "g2": segment_scores(chunks, q, 4, 2), "g3": best("maxsim")}
 
 
@@ -108,7 +115,7 @@ def overfetch_few_topk(spark, sf):
 for _how, _expr in (("sum", "0.25 * n0.x + 0.25 * n1.x + 0.25 * n2.x + 0.25 * n3.x"), ("max", "greatest(n0.x, n1.x, n2.x, n3.x)")):
 
     def _mg(spark, sf, how=_how):
-        return ranking.ranked(ranking.fused(level_scores(spark, sf), how), K)
+        return ranking.ranked(ranking.fused(level_rows(spark, sf), how), K)
 
     _mg.__name__ = f"mg_{_how}"
     query(sql(*ALL_LEVELS, SCALED, f"fu AS (SELECT query_id, file_id, {_expr} AS score FROM n0 JOIN n1 USING (query_id, file_id) JOIN n2 USING (query_id, file_id) JOIN n3 USING (query_id, file_id))", TOP_OF("fu"), out=OUT))(_mg)
@@ -149,9 +156,9 @@ def nested_levels(spark, sf) -> dict[str, DataFrame]:
     as_chunks = lambda df, c: df.select("file_id", c.cast("long").alias("chunk_id"), F.array("vec").alias("tokens"))
     whole = plugins.decayed_mean(fv, ["file_id"], "span")
     return {
-        "l0": ranking.best_per_file(scores(spark, sf, "maxsim")),
-        "l1": ranking.best_per_file(chunk_scores(as_chunks(fv, F.col("span")), q, "pooled")),
-        "l2": ranking.best_per_file(chunk_scores(as_chunks(whole, F.lit(0)), q, "pooled")),
+        "l0": chunk_scores(V.file_chunks(spark, sf), q, "maxsim", by_file=True),
+        "l1": chunk_scores(as_chunks(fv, F.col("span")), q, "pooled", by_file=True),
+        "l2": chunk_scores(as_chunks(whole, F.lit(0)), q, "pooled"),
     }
 
 
