@@ -20,8 +20,8 @@ from quern.functions.vectors import orthogonal
 
 #: Query tokens of one broadcast, and similarities that are held at once.
 BLOCK_TOKENS, BLOCK_CELLS = 50_000, 4_000_000
-#: Best files that a task holds before it sorts the worse ones out, and rows of one Arrow batch that it emits.
-HELD_CELLS, EMITTED = 1_000_000, 100_000
+#: Files of all queries that a task holds before it sorts the worse ones out (4 k a query if that is more), and rows of one Arrow batch that it emits.
+HELD_CELLS, EMITTED = 200_000, 100_000
 #: Methods: heads, is the pooling over query tokens a mean, are tokens pooled before.
 METHODS: dict[str, dict] = {
     "pooled": {"pooled": True},
@@ -127,6 +127,7 @@ class _Best:
 
     def __init__(self, n: int, k: int):
         self.n, self.k, self.least, self.size = n, k, np.full(n, -np.inf), 0
+        self.most = max(HELD_CELLS, 4 * n * k)
         self.parts: list[tuple] = []
 
     def add(self, files: np.ndarray, scores: np.ndarray, chunks: np.ndarray, meets: np.ndarray | None) -> None:
@@ -135,7 +136,7 @@ class _Best:
         if len(row):
             self.parts.append((row, files[col], scores[row, col], chunks[row, col]))
             self.size += len(row)
-            if self.size > HELD_CELLS:
+            if self.size > self.most:
                 self.compact()
 
     def compact(self) -> tuple:
@@ -150,7 +151,7 @@ class _Best:
         self.least[full] = np.round(key[order][begin[full] + self.k - 1], 6) - 1e-6
         order = order[~(key[order] < self.least[row[order]])]
         self.parts = [(row[order], file[order], score[order], chunk[order])]
-        self.size = len(order) if len(order) < HELD_CELLS // 2 else 0  # many ties: as much again before the next time
+        self.size = len(order) if len(order) < self.most // 2 else 0  # many ties: as much again before the next time
         return self.parts[0]
 
 
